@@ -6,25 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm.common import documents
+from wakeline.llm.common import documents, held_out
+from wakeline.llm.decontaminate import contamination
+from wakeline.llm.fingerprints import fingerprints
+from wakeline.llm.html_text import extract
+from wakeline.llm.language_id import identify
 from wakeline.llm.packing import pack
 from wakeline.llm.sharding import feistel_shards
+from wakeline.llm.url_graph import judge
 
 CAPACITY = 2048
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return identify(docs, ~held_out(4, 2)).withColumn("held_out", held_out(4, 2))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), CAPACITY)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(documents(spark, sf_dir))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
+def op7_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_feistel_sharding)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
