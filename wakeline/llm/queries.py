@@ -10,6 +10,7 @@ from wakeline.llm.common import documents, held_out
 from wakeline.llm.decontaminate import contamination
 from wakeline.llm.fingerprints import fingerprints
 from wakeline.llm.html_text import extract
+from wakeline.llm.jaccard_join import jaccard_components
 from wakeline.llm.language_id import identify
 from wakeline.llm.packing import pack
 from wakeline.llm.sharding import feistel_shards
@@ -33,6 +34,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op4_ngram_jaccard_join, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
