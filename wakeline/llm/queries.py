@@ -13,6 +13,7 @@ from wakeline.llm.html_text import extract
 from wakeline.llm.jaccard_join import jaccard_components
 from wakeline.llm.language_id import identify
 from wakeline.llm.packing import pack
+from wakeline.llm.repeats import remove_repeats
 from wakeline.llm.sharding import feistel_shards
 from wakeline.llm.url_graph import judge
 
@@ -50,12 +51,16 @@ def op7_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op4_ngram_jaccard_join, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op4_ngram_jaccard_join, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op9_suffix_array_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
