@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text that one vectorised step takes, in bytes (a single longer text is taken whole).
 CHUNK_BYTES = 1 << 20
-#: Largest table, in rows, that bounded_join() broadcasts; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Largest table, in rows and in bytes, that bounded_join() broadcasts; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 _M1, _M2, _R = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, dtype=bool)
@@ -31,10 +31,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
-    """Joins with a broadcast of ``small`` if its counted rows are at most ``most``, else by a shuffle."""
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= most else small, on, how)
+def bounded_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None, size: Column | None = None) -> DataFrame:
+    """Joins with a broadcast of ``small`` if it is counted and proves small, else by a shuffle.
+
+    ``size`` gives the bytes of a row's columns of no fixed width.
+    """
+    n, more = (rows, 0) if rows is not None and size is None else small.agg(F.count("*"), F.sum(size) if size is not None else F.lit(0)).first()
+    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS and 32 * n + (more or 0) <= BROADCAST_BYTES else small, on, how)
 
 
 def n_buckets(docs: DataFrame, text: str = "text", mb: int = 32) -> int:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import as_bytes, bounded_join, checkpoint, chunks, mix, n_buckets, prefix_hash, span_hash
@@ -110,6 +110,17 @@ def _first_of_equals(doc: np.ndarray, place: np.ndarray, key: list) -> tuple[np.
     return np.flatnonzero(first), np.flatnonzero(~first)
 
 
+def _runs(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """The spans (document, start, stop), those that overlap or touch made one."""
+    out: list[list[int]] = []
+    for d, s, e in sorted(spans):
+        if out and out[-1][0] == d and s <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], e)
+        else:
+            out.append([d, s, e])
+    return out
+
+
 def _deal_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """Contexts of repeated anchors by bucket; in a batch, equal contexts go once and the later ones are spans."""
     reach = length - GRAM
@@ -124,7 +135,7 @@ def _deal_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 continue
             kept, later = _first_of_equals(np.array(doc), np.array(place), list(zip(before, context, strict=True)))
             out = [(int(mix(np.array([int.from_bytes(hashlib.blake2b(context[i][before[i] : before[i] + GRAM], digest_size=8).digest(), "little")], np.uint64))[0] % np.uint64(buckets)), doc[i], place[i], before[i], context[i], None, None) for i in kept]
-            out += [(-1, doc[i], None, None, None, place[i] - before[i], place[i] - before[i] + len(context[i])) for i in later if len(context[i]) >= length]
+            out += [(-1, d, None, None, None, s, e) for d, s, e in _runs([(doc[i], place[i] - before[i], place[i] - before[i] + len(context[i])) for i in later if len(context[i]) >= length])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], _NAMES)
 
     return docs.mapInArrow(deal, _SPANS)
@@ -229,7 +240,7 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFra
     firsts, twins = without_twins(docs)
     buckets = n_buckets(docs)
     places = _deal_anchors(firsts, length, buckets).groupBy("bucket").applyInArrow(_repeated, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    held = bounded_join(firsts, checkpoint(places), "doc_id")
+    held = bounded_join(firsts, checkpoint(places), "doc_id", size=F.expr("aggregate(places, 0L, (n, x) -> n + octet_length(x))"))
     spans = _deal_contexts(held, length, 4 * buckets).groupBy("bucket").applyInArrow(_scan(length), "doc_id long, start long, stop long")
     return checkpoint(spans), twins
 
@@ -251,7 +262,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spans, twins = repeat_spans(docs, length)
-    packed = spans.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    ordered = Window.partitionBy("doc_id").orderBy("start", "stop")
+    reached = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = spans.withColumn("_new", (F.col("start") > F.coalesce(reached, F.lit(-1))).cast("int")).withColumn("_run", F.sum("_new").over(ordered))
+    runs = numbered.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    packed = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     marked = packed.join(twins.withColumn("twin", F.lit(True)), "doc_id", "full")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,4 +279,4 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return bounded_join(docs, checkpoint(marked), "doc_id", "left").select("doc_id", "text", "spans", "twin").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return bounded_join(docs, checkpoint(marked), "doc_id", "left", size=F.coalesce(F.size("spans"), F.lit(0)) * 40).select("doc_id", "text", "spans", "twin").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
