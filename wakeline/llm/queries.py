@@ -11,6 +11,7 @@ from wakeline.llm.decontaminate import contamination
 from wakeline.llm.fingerprints import fingerprints
 from wakeline.llm.html_text import extract
 from wakeline.llm.jaccard_join import jaccard_components
+from wakeline.llm.katz import katz_scores
 from wakeline.llm.language_id import identify
 from wakeline.llm.packing import pack
 from wakeline.llm.repeats import remove_repeats
@@ -51,6 +52,10 @@ def op7_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir), ~held_out(7, 2)).withColumn("held_out", held_out(7, 2))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("kept")
 
@@ -60,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op4_ngram_jaccard_join, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op9_suffix_array_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op4_ngram_jaccard_join, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op8_katz_backoff, op9_suffix_array_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
