@@ -23,11 +23,17 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable copy of ``df`` in the folder of spark.checkpoint.dir; sets one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared folder; a folder of its own only where none is set, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wakeline-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable copy of ``df`` in the folder of spark.checkpoint.dir."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
