@@ -1,6 +1,6 @@
 """Best-fit packing by large-item matching.
 
-A document's ids are those of the byte-level BPE, then one end id. Documents over the capacity are
+A document's ids are those of the tokenizer's file (no special tokens added), then one end id. Documents over the capacity are
 cut into full pieces (the first piece takes the remainder). Since lengths are whole numbers up to
 the capacity, the packing depends only on how many pieces have each length: at most `capacity`
 counts go to the driver, however many documents there are. There, pieces above one third of the
@@ -14,7 +14,6 @@ A null text is empty: one piece of the end id alone. Repeated rows are packed ea
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -28,9 +27,6 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import checkpoint
 
-#: Byte-level BPE pretokens as the vocabulary's own tokenizer cuts them (fixed value).
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPECIAL = {"<|endoftext|>": 50256}
 #: Distinct words whose ids a task keeps; when full, the memory starts anew.
 WORD_MEMORY = 400_000
 #: Pieces that one salted rank group should hold.
@@ -43,17 +39,15 @@ class IdBytes:
     #: Where white space reaches over a blank, words can't be cut apart at it.
     joined = re.compile(r"\s (?:\s|$)")
 
-    def __init__(self, ranks_path: str, end_id: int) -> None:
-        import tiktoken
+    def __init__(self, tokenizer_path: str, end_id: int) -> None:
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.own = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self.own = Tokenizer.from_file(tokenizer_path)
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, allowed_special="all"), "<u4").tobytes()
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -69,16 +63,16 @@ class IdBytes:
                 known.clear()
             for w in rest:
                 if w not in known:
-                    known[w] = np.array(self.own.encode_ordinary(" " + w), "<u4").tobytes()
+                    known[w] = self.whole(" " + w)
             out = list(map(known.__getitem__, rest))
         return (self.whole(first) if first else b"") + b"".join(out) + self.end
 
 
-def token_pieces(docs: DataFrame, capacity: int, ranks_path: str, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = IdBytes(ranks_path, end_id)
+        ids_of = IdBytes(tokenizer_path, end_id)
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -152,8 +146,8 @@ def packing_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return sorted(ranges), sequence
 
 
-def pack(docs: DataFrame, ranks_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    pieces = checkpoint(token_pieces(docs, capacity, ranks_path, end_id))
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    pieces = checkpoint(token_pieces(docs, capacity, tokenizer_path, end_id))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranges, _ = packing_plan(counts, capacity)
     salts = max(1, max(counts.values(), default=1) // RANK_GROUP + 1)

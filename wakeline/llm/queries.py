@@ -29,7 +29,7 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), CAPACITY)
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
