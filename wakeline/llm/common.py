@@ -5,8 +5,12 @@ Hashes are 64 bit; two different words or shingles share one with a chance near
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,35 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def tidy(f: Callable) -> Callable:
+    """``f`` for a task; what it held is given back to the machine afterwards, since workers live on."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    if inspect.isgeneratorfunction(f):
+
+        @wraps(f)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from f(batches)
+            finally:
+                give_back()
+
+    else:
+
+        @wraps(f)
+        def run(table: pa.Table) -> pa.Table:
+            try:
+                return f(table)
+            finally:
+                give_back()
+
+    return run
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared folder; a folder of its own only where none is set, as in tests."""
     sc = spark.sparkContext

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.common import tidy
+
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 3000
 MAX_LANGS = 400
@@ -62,7 +64,7 @@ def fit(docs: DataFrame, learn: Column) -> tuple[list[str], np.ndarray]:
         return [], np.zeros((BUCKETS, 0))
     share = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE_PER_LANG / n)) for k, n in rows.items()], "lang string, _share double")
     drawn = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
-    counts = drawn.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = drawn.select("lang", "text").mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows)
     n = np.zeros((BUCKETS, len(langs)))
     n[counts["bucket"], counts["lang"].map({k: i for i, k in enumerate(langs)})] = counts["n"]
@@ -127,4 +129,4 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "langs", "proportions"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, langs array<string>, proportions array<double>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(predict), f"doc_id {kind}, lang_pred string, score double, langs array<string>, proportions array<double>")

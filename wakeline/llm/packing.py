@@ -14,10 +14,12 @@ A null text is empty: one piece of the end id alone. Repeated rows are packed ea
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import checkpoint
+from wakeline.llm.common import checkpoint, tidy
 
 #: Distinct words whose ids a task keeps; when full, the memory starts anew.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 300_000
 #: Pieces that one salted rank group should hold.
 RANK_GROUP = 50_000
 
@@ -40,6 +42,7 @@ class IdBytes:
     joined = re.compile(r"\s (?:\s|$)")
 
     def __init__(self, tokenizer_path: str, end_id: int) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(tokenizer_path)
@@ -61,18 +64,24 @@ class IdBytes:
         except KeyError:
             if len(known) > WORD_MEMORY:
                 known.clear()
-            for w in rest:
-                if w not in known:
-                    known[w] = self.whole(" " + w)
+            new = [w for w in dict.fromkeys(rest) if w not in known]
+            for w, e in zip(new, self.own.encode_batch_fast([" " + w for w in new], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
             out = list(map(known.__getitem__, rest))
         return (self.whole(first) if first else b"") + b"".join(out) + self.end
 
 
+@lru_cache(1)
+def kept_ids(tokenizer_path: str, end_id: int) -> IdBytes:
+    """A worker's own, with its memory of words, for all its tasks."""
+    return IdBytes(tokenizer_path, end_id)
+
+
 def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = IdBytes(tokenizer_path, end_id)
+        ids_of = kept_ids(tokenizer_path, end_id)
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -85,7 +94,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str, end_id: in
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:

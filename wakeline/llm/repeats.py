@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import as_bytes, bounded_join, checkpoint, chunks, mix, n_buckets, prefix_hash, span_hash
+from wakeline.llm.common import as_bytes, bounded_join, checkpoint, chunks, mix, n_buckets, prefix_hash, span_hash, tidy
 
 GRAM = 16
 #: Members of an interval up to this number are compared pair by pair, more of them level by level.
@@ -77,7 +77,7 @@ def _deal_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 cols = (ids[text[w][new]], np.diff(np.concatenate((np.flatnonzero(new), [len(w)]))).astype(np.uint32), place[w].astype(np.uint32), h[w].astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols)], ["bucket", "ids", "counts", "places", "grams"])
 
-    return docs.mapInArrow(deal, "bucket int, ids binary, counts binary, places binary, grams binary")
+    return docs.mapInArrow(tidy(deal), "bucket int, ids binary, counts binary, places binary, grams binary")
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -138,7 +138,7 @@ def _deal_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             out += [(-1, d, None, None, None, s, e) for d, s, e in _runs([(doc[i], place[i] - before[i], place[i] - before[i] + len(context[i])) for i in later if len(context[i]) >= length])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], _NAMES)
 
-    return docs.mapInArrow(deal, _SPANS)
+    return docs.mapInArrow(tidy(deal), _SPANS)
 
 
 def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -239,9 +239,9 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFra
     """Spans (doc_id, start, stop) to remove from texts that are the first of their kind, and the doc_ids of copies."""
     firsts, twins = without_twins(docs)
     buckets = n_buckets(docs)
-    places = _deal_anchors(firsts, length, buckets).groupBy("bucket").applyInArrow(_repeated, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    places = _deal_anchors(firsts, length, buckets).groupBy("bucket").applyInArrow(tidy(_repeated), "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     held = bounded_join(firsts, checkpoint(places), "doc_id", size=F.expr("aggregate(places, 0L, (n, x) -> n + octet_length(x))"))
-    spans = _deal_contexts(held, length, 4 * buckets).groupBy("bucket").applyInArrow(_scan(length), "doc_id long, start long, stop long")
+    spans = _deal_contexts(held, length, 4 * buckets).groupBy("bucket").applyInArrow(tidy(_scan(length)), "doc_id long, start long, stop long")
     return checkpoint(spans), twins
 
 
@@ -279,4 +279,4 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return bounded_join(docs, checkpoint(marked), "doc_id", "left", size=F.coalesce(F.size("spans"), F.lit(0)) * 40).select("doc_id", "text", "spans", "twin").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return bounded_join(docs, checkpoint(marked), "doc_id", "left", size=F.coalesce(F.size("spans"), F.lit(0)) * 40).select("doc_id", "text", "spans", "twin").mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
