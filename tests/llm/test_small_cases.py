@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from wakeline.llm.fingerprints import fingerprints
+from wakeline.llm.fingerprints import features, fingerprints
 from wakeline.llm.html_text import extract, main_text
 from wakeline.llm.sharding import feistel_shards
 from wakeline.llm.url_graph import judge
@@ -71,3 +71,14 @@ def test_fingerprints(spark):
         assert got[k].n_chars == len(t)
         assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
     assert got[4].near_edited == pytest.approx(1.0)
+
+
+def test_features_do_not_depend_on_the_place_in_a_step():
+    import random
+
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("aaabcdeefghiijklmnoopqrsttuvwxyz     .,") for _ in range(n)).encode() for n in (100, 250, 700, 2000, 64, 63)]
+    alone = [features([t])[0].tolist() for t in texts]
+    for k in range(len(texts)):
+        turned = features(texts[k:] + texts[:k])
+        assert [x.tolist() for x in turned[len(texts) - k :] + turned[: len(texts) - k]] == alone
