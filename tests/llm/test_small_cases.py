@@ -48,6 +48,17 @@ def test_distrust_flows_against_links(spark):
     assert got[3].distrust == 0
 
 
+def test_unrelated_link_leaves_verdicts(spark):
+    rows = [(1, "http://bad.com/en/1", None), (2, "http://bad.com/en/2", None), (3, "http://bad.com/other", None), (4, "http://good.net/de/1", None), (5, "http://good.net/x", None)]
+    link = [(6, "http://a.info/", '<a href="http://b.info/">x</a>')]
+    seen = []
+    for more in ([], link):
+        got = judge(spark.createDataFrame(rows + more, "page_id long, url string, html string")).where("page_id < 6").collect()
+        seen.append(sorted((r.page_id, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in got))
+    assert seen[0] == seen[1]
+    assert [x[1] for x in seen[0]] == ["block", "block", "block", "allow", "allow"] and seen[0][2][3] == 0.15
+
+
 def test_page_text(spark):
     long = "This is the text of the article and it was written for all of you who are in the house with us. " * 3
     page = f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>{long}</p><p>Short\n end.</p></article><footer>© all rights</footer><script>x<y</script></body></html>"

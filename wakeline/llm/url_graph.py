@@ -2,8 +2,8 @@
 
 Host edges come from the links of the pages. Trust flows along links from hosts whose ruled pages are
 allowed (personalised PageRank); distrust flows against links from hosts whose ruled pages are blocked.
-A host is blocked where its distrust passes the threshold and its trust. Hosts mixed in the rules are
-no seeds. A null url, or one without `://`, has an empty host and path and is allowed by default; null
+A seed host keeps the verdict of its rules; any other is blocked where its distrust passes the
+threshold and its trust. Hosts mixed in the rules are no seeds. A null url, or one without `://`, has an empty host and path and is allowed by default; null
 html has no links; repeated pages are judged one by one and count once each; no pages give no rows.
 """
 
@@ -61,7 +61,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, seed: str, reverse: bool) -> D
     out = edges.groupBy(source).agg(F.sum("n").alias("_all"))
     shares = checkpoint(edges.join(out, source).select("src", "dst", (F.col("n") / F.col("_all")).alias("share")))
     scores = hosts.select("host", seed, F.col(seed).alias("score"))
-    for i in range(ROUNDS if not shares.isEmpty() else 0):
+    for i in range(ROUNDS):
         scores = _spread(scores, shares, seed, source, to)
         if i % 4 == 3:
             scores = checkpoint(scores)
@@ -79,7 +79,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
         .select("host", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "allowed", "blocked")))
         .select("host", ((F.col("blocked") == 0) & (F.col("allowed") * 2 > F.col("n"))).cast("double").alias("trust"), ((F.col("allowed") == 0) & (F.col("blocked") * 2 > F.col("n"))).cast("double").alias("distrust"))
     )
-    scores = checkpoint(propagate(hosts, edges, "trust", False).join(propagate(hosts, edges, "distrust", True), "host"))
+    seeds = hosts.select("host", (F.col("trust") > 0).alias("_trusted"), (F.col("distrust") > 0).alias("_blocked"))
+    scores = checkpoint(propagate(hosts, edges, "trust", False).join(propagate(hosts, edges, "distrust", True), "host").join(seeds, "host"))
     judged = bounded_join(known.drop("html", "url"), scores, "host", "left")
-    bad = (F.col("distrust") > THRESHOLD) & (F.col("distrust") > F.col("trust"))
+    bad = F.col("_blocked") | ~F.col("_trusted") & (F.col("distrust") > THRESHOLD) & (F.col("distrust") > F.col("trust"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
