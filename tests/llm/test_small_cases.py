@@ -59,6 +59,16 @@ def test_unrelated_link_leaves_verdicts(spark):
     assert [x[1] for x in seen[0]] == ["block", "block", "block", "allow", "allow"] and seen[0][2][3] == 0.15
 
 
+def test_links_change_verdicts(spark):
+    to = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    rows = [(1, "http://bad.com/en/1", None), (2, "http://good.net/de/1", to("praised.info"))]
+    rows += [(10 + i, f"http://friend{i}.info/", to("bad.com")) for i in range(5)]
+    rows += [(20, "http://second.info/", to("friend0.info")), (21, "http://half.info/", to("bad.com", "calm.info")), (22, "http://tenth.info/", to("bad.com", *(f"calm{i}.info" for i in range(9))))]
+    rows += [(23, "http://praised.info/", to("bad.com")), (24, "http://calm.info/", to("good.net"))]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 10, 11, 12, 13, 14, 20, 21}
+
+
 def test_page_text(spark):
     long = "This is the text of the article and it was written for all of you who are in the house with us. " * 3
     page = f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>{long}</p><p>Short\n end.</p></article><footer>© all rights</footer><script>x<y</script></body></html>"

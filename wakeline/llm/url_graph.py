@@ -1,10 +1,13 @@
 """URL filters: longest rules first, then link-graph propagation over hosts, in DataFrame operations only.
 
 Host edges come from the links of the pages. Trust flows along links from hosts whose ruled pages are
-allowed (personalised PageRank); distrust flows against links from hosts whose ruled pages are blocked.
+allowed (personalised PageRank); distrust flows against links from hosts whose ruled pages are blocked,
+each host taking the mean over its own links, so that other hosts' links to the same place do not thin it;
+trusted seeds take none and pass none on.
 A seed host keeps the verdict of its rules; any other is blocked where its distrust passes the
-threshold and its trust. Hosts mixed in the rules are no seeds. A null url, or one without `://`, has an empty host and path and is allowed by default; null
-html has no links; repeated pages are judged one by one and count once each; no pages give no rows.
+threshold and its trust. Hosts mixed in the rules are no seeds. A null url, or one without `://`,
+has an empty host and path and is allowed by default; null html has no links; repeated pages are
+judged one by one and count once each; no pages give no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,11 @@ from wakeline.llm.common import bounded_join, checkpoint
 
 #: (verdict, host/path) of the rules.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.2
+DAMPING, ROUNDS = 0.85, 8
+#: Share of a lone blocked seed's distrust above which a host is blocked: reached where about half of the
+#: host's links go straight to blocked seeds, or all of them over up to five steps.
+SHARE = 0.4
+THRESHOLD = SHARE * (1 - DAMPING)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -56,10 +63,10 @@ def _spread(scores: DataFrame, edges: DataFrame, seed: str, source: str, to: str
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, seed: str, reverse: bool) -> DataFrame:
-    """Personalised PageRank of every host from the weights in ``seed``, along or against the edges."""
+    """Damped scores of every host from the weights in ``seed``, along or against the edges; shares are of the links of ``src``."""
     source, to = ("dst", "src") if reverse else ("src", "dst")
-    out = edges.groupBy(source).agg(F.sum("n").alias("_all"))
-    shares = checkpoint(edges.join(out, source).select("src", "dst", (F.col("n") / F.col("_all")).alias("share")))
+    out = edges.groupBy("src").agg(F.sum("n").alias("_all"))
+    shares = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("share")))
     scores = hosts.select("host", seed, F.col(seed).alias("score"))
     for i in range(ROUNDS):
         scores = _spread(scores, shares, seed, source, to)
@@ -79,8 +86,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
         .select("host", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "allowed", "blocked")))
         .select("host", ((F.col("blocked") == 0) & (F.col("allowed") * 2 > F.col("n"))).cast("double").alias("trust"), ((F.col("allowed") == 0) & (F.col("blocked") * 2 > F.col("n"))).cast("double").alias("distrust"))
     )
+    doubted = edges.join(hosts.where("trust > 0").select(F.col("host").alias("src")), "src", "left_anti")
     seeds = hosts.select("host", (F.col("trust") > 0).alias("_trusted"), (F.col("distrust") > 0).alias("_blocked"))
-    scores = checkpoint(propagate(hosts, edges, "trust", False).join(propagate(hosts, edges, "distrust", True), "host").join(seeds, "host"))
+    scores = checkpoint(propagate(hosts, edges, "trust", False).join(propagate(hosts, doubted, "distrust", True), "host").join(seeds, "host"))
     judged = bounded_join(known.drop("html", "url"), scores, "host", "left")
     bad = F.col("_blocked") | ~F.col("_trusted") & (F.col("distrust") > THRESHOLD) & (F.col("distrust") > F.col("trust"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
