@@ -78,6 +78,26 @@ def test_page_text(spark):
     assert rows[2].n_chars == len(rows[2].text) > 0
 
 
+def test_hidden_elements_without_end_tags():
+    said = "This is the text of the article and it was written for all of you who are in the house with us. " * 3
+    more = "And that is what they said to us when we were in the town, for it was not on the way to the sea. " * 3
+    article = f"<article><p>{said}</p><p>{more}</p></article>"
+    want = f"{said.strip()}\n{more.strip()}"
+    whole = f"<html><head><title>t</title></head><body>{article}</body></html>"
+    assert main_text(whole) == want
+    assert main_text(whole.replace("</head>", "")) == want
+    assert main_text(whole.replace("</head><body>", "")) == want
+    assert main_text(f"<head><meta charset=x><title>t</title>{article}") == want
+    for name in ("select", "svg", "object", "canvas", "video", "noscript", "iframe", "template", "math", "audio"):
+        assert main_text(f"<body><{name} a='>'>{article}</body>") == want, name
+        assert main_text(f"<body><div><{name}></div>{article}<p><{name}>x</{name}></p></body>") == want, name
+        assert main_text(f"<body><{name}><p>{more}</p><{name}>x</{name}></{name}>{article}</body>") == want, name
+        assert main_text(f"<body>{article.replace('</p><p>', f'</p><{name}>hidden<p>')}</body>") == want, name
+        assert main_text(f"<body><{name}/>{article}</body>") == want, name
+    assert main_text(f"<body><select><option>{more}<option>{more}{article}</body>") == want
+    assert main_text(f"<body><article><p>{said}<svg><title>x</title><path d=y></svg></p><p>{more}</p></article><script>{article}") == want
+
+
 def test_fingerprints(spark):
     import hashlib
 

@@ -3,7 +3,8 @@
 First pass: each block (text between block-level tags) is decided by stop-word density, length and
 link density, and by the containers it stands in. Second pass: short or in-between blocks take the
 label of their nearest decided neighbours; the ends of an article count as good neighbours, the ends
-of a page without one as bad. Null or empty html gives an empty text; repeated pages are judged one
+of a page without one as bad. A hidden element without an end tag ends at the next block-level tag or
+with its parent, a head at the first element of the body. Null or empty html gives an empty text; repeated pages are judged one
 by one; other columns are ignored; nothing is capped.
 """
 
@@ -23,12 +24,19 @@ STOP_WORDS = frozenset(
     als auch auf aus bei das dass dem den der des die ein eine einen einer er es für hat ich im ist mit nach nicht noch sich sie sind so um und von war wie wird zu zum
     al como con del el ella en era es esta fue ha hay la las lo los más no para pero por que se ser sin su sus también una uno y ya""".split()
 )
-#: Elements whose text is never shown as text.
-HIDDEN = "script|style|noscript|template|svg|iframe|object|textarea|select|head|math|canvas|audio|video"
+#: Elements of raw text, which without an end tag run to the end of the page.
+RAW = "script|style|textarea"
+#: Other elements whose text is never shown as text.
+HIDDEN = frozenset("noscript template svg iframe object select head math canvas audio video".split())
 #: Elements that end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that hold no main text; a header counts only outside an article.
 OUTSIDE = frozenset("nav footer aside form menu dialog button fieldset".split())
+#: Elements whose end also ends hidden elements left open in them.
+FRAMES = frozenset("article aside blockquote body div footer form header html main nav section table td".split())
+#: What stands in a head, and what does not end a hidden element without an end tag.
+IN_HEAD = frozenset("html head title meta base link basefont bgsound style script noscript template noframes".split())
+WITHIN = frozenset("option title legend".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end is implied by a like element or by their parent's end.
@@ -38,7 +46,9 @@ MARKED = re.compile(
     r"cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|toolbar|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+#: Start and end tags that show where hidden elements end.
+FRAME = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)({'|'.join(sorted(HIDDEN | FRAMES))})(?![a-zA-Z0-9:-])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 ROLE = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|form|alert|dialog)\b", re.I)
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,11 +56,39 @@ WORD = re.compile(r"[^\W\d_]+")
 SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.18, 0.28, 0.4
 
 
+def hidden_ends(page: str) -> dict[int, int]:
+    """Start of each hidden element that has an end tag -> where that tag ends; a body also ends its head."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}
+    for m in FRAME.finditer(page):
+        if m[3] is None:
+            continue
+        name = m[3].lower()
+        if name == "body" and not m[2] and held.get("head"):
+            while (last := stack.pop())[0] != "head":
+                held[last[0]] -= 1
+            held["head"] -= 1
+            ends[last[1]] = m.start()
+        if not m[2]:
+            if not m[4].endswith("/") or name not in HIDDEN:
+                stack.append((name, m.start()))
+                held[name] = held.get(name, 0) + 1
+        elif held.get(name):
+            while (last := stack.pop())[0] != name:
+                held[last[0]] -= 1
+            held[name] -= 1
+            if name in HIDDEN:
+                ends[last[1]] = m.end()
+    return ends
+
+
 def blocks(page: str) -> Iterator[tuple[str, float, bool, int]]:
     """(text, link density, stands in a container without main text, number of its article or 0)."""
     stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    linked = breaks = articles = 0
+    linked = breaks = articles = skip = 0
+    ends, hidden = hidden_ends(page), ""
 
     def done() -> Iterator[tuple[str, float, bool, int]]:
         nonlocal linked, breaks
@@ -61,7 +99,18 @@ def blocks(page: str) -> Iterator[tuple[str, float, bool, int]]:
         linked = breaks = 0
 
     for m in TOKEN.finditer(page):
+        if m.start() < skip:
+            continue
         text = m[5]
+        if hidden:
+            if m[3] is None:
+                continue
+            name = m[3].lower()
+            if name not in HIDDEN and (name not in IN_HEAD if hidden == "head" else name in BLOCKS and name not in WITHIN or m[2] and any(x[0] == name for x in stack)):
+                hidden = ""
+        if hidden:
+            skip = ends.get(m.start(), skip)
+            continue
         if text is not None:
             parts.append(text)
             if not text.isspace():
@@ -72,6 +121,11 @@ def blocks(page: str) -> Iterator[tuple[str, float, bool, int]]:
         if m[3] is None:
             continue
         name, closing = m[3].lower(), bool(m[2])
+        if name in HIDDEN:
+            if not closing and not m[4].endswith("/"):
+                skip = ends.get(m.start(), 0)
+                hidden = "" if skip else name
+            continue
         if name == "br":
             breaks += 1
             parts.append(" ")
