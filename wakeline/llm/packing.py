@@ -14,6 +14,7 @@ A null text is empty: one piece of the end id alone. Repeated rows are packed ea
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,51 +30,54 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import checkpoint, tidy
 
-#: Distinct words whose ids a task keeps; when full, the memory starts anew.
-WORD_MEMORY = 300_000
+#: Fixed value: the pattern by which byte-level BPE of this kind splits a text before it merges.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Runs of white space, or of anything else, from this length on go to the file's own tokenizer.
+LONG_RUN = 1000
 #: Pieces that one salted rank group should hold.
 RANK_GROUP = 50_000
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte value in the file: itself if it is printable, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b if b in shown else next(free)) for b in range(256)]
+
+
 class IdBytes:
-    """Ids of texts as little-endian unsigned 32-bit bytes; ids of a word behind a blank are remembered."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, by the merges of the tokenizer's file.
 
-    #: Where white space reaches over a blank, words can't be cut apart at it.
-    joined = re.compile(r"\s (?:\s|$)")
+    The merges run in tiktoken, whose ids are the same; texts with strings of special tokens, or with runs
+    that its pattern would take too long for, go to the file's own tokenizer.
+    """
+
+    odd = re.compile(rf"<\||\s{{{LONG_RUN}}}|[^\s]{{{LONG_RUN}}}")
 
     def __init__(self, tokenizer_path: str, end_id: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(tokenizer_path, encoding="utf-8") as f:
+            file = json.load(f)
+        special = {t["content"] for t in file.get("added_tokens", ())}
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in file["model"]["vocab"].items() if token not in special}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.own = Tokenizer.from_file(tokenizer_path)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if self.joined.search(text) or "<|" in text:
-            return self.whole(text) + self.end
-        first, *rest = text.split(" ")
-        known = self.known
-        try:
-            out = list(map(known.__getitem__, rest))
-        except KeyError:
-            if len(known) > WORD_MEMORY:
-                known.clear()
-            new = [w for w in dict.fromkeys(rest) if w not in known]
-            for w, e in zip(new, self.own.encode_batch_fast([" " + w for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            out = list(map(known.__getitem__, rest))
-        return (self.whole(first) if first else b"") + b"".join(out) + self.end
+        ids = self.own.encode(text, add_special_tokens=False).ids if self.odd.search(text) else self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes() + self.end
 
 
 @lru_cache(1)
 def kept_ids(tokenizer_path: str, end_id: int) -> IdBytes:
-    """A worker's own, with its memory of words, for all its tasks."""
+    """A worker's own, for all its tasks."""
     return IdBytes(tokenizer_path, end_id)
 
 
