@@ -22,6 +22,9 @@ CHUNK_BYTES = 1 << 20
 #: Largest table, in rows and in bytes, that bounded_join() broadcasts; beyond it the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
+#: What names a document.
+KEYS = ["doc_id", "text_hash"]
+
 _M1, _M2, _R = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -57,10 +60,13 @@ def tidy(f: Callable) -> Callable:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a folder of its own only where none is set, as in tests."""
+    """The session's shared folder; a folder of its own only where none is set and all run on this machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wakeline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wakeline-"))
     return sc.getCheckpointDir()
 
 
@@ -70,6 +76,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (a whole number), text_hash and text (null: empty); the first two are the document, also where a doc_id repeats."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def bounded_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None, size: Column | None = None) -> DataFrame:
     """Joins with a broadcast of ``small`` if it is counted and proves small, else by a shuffle.
 
