@@ -78,7 +78,7 @@ def phrase_hits(docs: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and text_hash of every row."""
     windows = checkpoint(test_windows(items))
     hits = checkpoint(phrase_hits(docs, windows))
     before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,4 +95,5 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "text_hash",
     )

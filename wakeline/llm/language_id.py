@@ -24,6 +24,7 @@ from wakeline.llm.common import tidy
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 3000
+#: Languages that one model may have (its size is BUCKETS x languages); a parameter of identify().
 MAX_LANGS = 400
 #: Trigrams that overlap share evidence: three count as one observation.
 OVERLAP = 3.0
@@ -54,12 +55,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(n[full].astype(np.int64))], ["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, learn: Column) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, learn: Column, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each bucket (rows) in each language (columns)."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(rows) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(rows) > max_langs:
+        raise ValueError(f"over {max_langs} languages: raise max_langs")
     if not rows:
         return [], np.zeros((BUCKETS, 0))
     share = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE_PER_LANG / n)) for k, n in rows.items()], "lang string, _share double")
@@ -107,9 +108,9 @@ def infer(u: np.ndarray, c: np.ndarray, log_p: np.ndarray) -> tuple[list[int], n
     return [chosen[i] for i in order], pi[order], sure
 
 
-def identify(docs: DataFrame, learn: Column) -> DataFrame:
-    """doc_id, lang_pred, score, langs and proportions of every document."""
-    langs, log_p = fit(docs, learn)
+def identify(docs: DataFrame, learn: Column, max_langs: int = MAX_LANGS) -> DataFrame:
+    """doc_id, lang_pred, score, langs, proportions and text_hash of every row."""
+    langs, log_p = fit(docs, learn, max_langs)
     model = docs.sparkSession.sparkContext.broadcast((langs, log_p))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,8 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
                 scores.append(min(1.0, max(0.0, float(pi[0]) * (sure if len(chosen) == 1 else 1.0))))
                 sets.append([names[i] for i in chosen])
                 shares.append([float(x) for x in pi])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "langs", "proportions"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())), b.column(2)], ["doc_id", "lang_pred", "score", "langs", "proportions", "text_hash"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(tidy(predict), f"doc_id {kind}, lang_pred string, score double, langs array<string>, proportions array<double>")
+    own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return own.mapInArrow(tidy(predict), f"doc_id {kind}, lang_pred string, score double, langs array<string>, proportions array<double>, text_hash long")
