@@ -1,11 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-First pass: each block (text between block-level tags) is decided by stop-word density, length and
-link density, and by the containers it stands in. Second pass: short or in-between blocks take the
-label of their nearest decided neighbours; the ends of an article count as good neighbours, the ends
-of a page without one as bad. A hidden element without an end tag ends at the next block-level tag or
-with its parent, a head at the first element of the body. Null or empty html gives an empty text; repeated pages are judged one
-by one; other columns are ignored; nothing is capped.
+First pass: every block (text between block-level tags) gets points: for its stop-word density, its
+length, its link density, and for where it stands (in an article, or in a container that usually holds
+something else; where a page has an article, also for standing outside). Enough points make it good,
+too few bad, and what lies between, short blocks above all, stays open. Second pass: an open block takes
+the label of its nearest decided neighbours in the same article (or outside all); where these differ or
+are missing, headings go with what follows, longer prose with a good neighbour, and the rest with the
+place. A very long dense block may thus stand in a side container, and a linked list or a notice in an article goes.
+
+A hidden element without an end tag ends at the next block-level tag or with its parent, a head at the
+first element of the body; a tag without an end swallows the rest, as in browsers. Each page is read in
+time linear in its length. Null or empty html gives an empty text; repeated pages are judged one by one;
+other columns are ignored; nothing is capped.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ STOP_WORDS = frozenset(
     al como con del el ella en era es esta fue ha hay la las lo los más no para pero por que se ser sin su sus también una uno y ya""".split()
 )
 #: Elements of raw text, which without an end tag run to the end of the page.
-RAW = "script|style|textarea"
+RAW = frozenset("script style textarea".split())
 #: Other elements whose text is never shown as text.
 HIDDEN = frozenset("noscript template svg iframe object select head math canvas audio video".split())
 #: Elements that end a block.
@@ -37,158 +43,265 @@ FRAMES = frozenset("article aside blockquote body div footer form header html ma
 #: What stands in a head, and what does not end a hidden element without an end tag.
 IN_HEAD = frozenset("html head title meta base link basefont bgsound style script noscript template noframes".split())
 WITHIN = frozenset("option title legend".split())
-#: Elements without an end tag.
+#: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose end is implied by a like element or by their parent's end.
-LOOSE = frozenset("p li dt dd tr td th option b i em strong span a font u small".split())
+#: Blocks that end where a like one begins.
+LIKE = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option", "p": "p"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|widget\w*|comments?|commentlist|disqus|respond|replies|reply|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|"
     r"cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|toolbar|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
-#: Start and end tags that show where hidden elements end.
-FRAME = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)({'|'.join(sorted(HIDDEN | FRAMES))})(?![a-zA-Z0-9:-])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What ends a tag or opens a quoted value in it.
+STEP = re.compile(r"""=\s*["']|>""")
+RAW_END = {name: re.compile(f"</{name}(?![a-zA-Z0-9:-])", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 ROLE = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|form|alert|dialog)\b", re.I)
+COMMENT = re.compile(r"comment|reply", re.I)
+RIGHTS = re.compile(r"©|\bcopyright\b|all rights reserved", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
-SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.18, 0.28, 0.4
+#: Lengths of a short, a long and a very long block; stop-word densities of prose that may be and that is; share of linked text.
+SHORT, LONG, VERY_LONG, LOW, HIGH, LINKS = 70, 200, 1000, 0.18, 0.28, 0.4
+#: Points from which a block is good, and up to which it is bad.
+GOOD, BAD = 2, -1
+
+#: start, end, name ("" for text), whether it closes, attributes or text.
+Token = tuple[int, int, str, bool, str]
 
 
-def hidden_ends(page: str) -> dict[int, int]:
+def tokens(page: str) -> list[Token]:
+    """Tags and texts in order; comments, declarations and the contents of raw elements are left out."""
+    out: list[Token] = []
+    at, size = 0, len(page)
+    while at < size:
+        i = page.find("<", at)
+        if i != at:
+            stop = i if i >= 0 else size
+            out.append((at, stop, "", False, page[at:stop]))
+            at = stop
+            continue
+        if page.startswith("<!--", at):
+            i = page.find("-->", at + 2)
+            at = i + 3 if i >= 0 else size
+            continue
+        m = NAME.match(page, at)
+        if not m:
+            if page[at + 1 : at + 2] in ("!", "/", "?"):
+                i = page.find(">", at)
+                at = i + 1 if i >= 0 else size
+            else:
+                out.append((at, at + 1, "", False, "<"))
+                at += 1
+            continue
+        end = m.end()
+        while (step := STEP.search(page, end)) and step[0] != ">":
+            i = page.find(step[0][-1], step.end())
+            end = i + 1 if i >= 0 else step.end()
+        if not step:
+            break
+        name, closing, said = m[1].lower(), page[at + 1] == "/", page[m.end() : step.start()]
+        if name in RAW and not closing:
+            if not said.endswith("/"):
+                i = RAW_END[name].search(page, step.end())
+                i = page.find(">", i.end()) if i else -1
+                at = i + 1 if i >= 0 else size
+            else:
+                at = step.end()
+            continue
+        out.append((at, step.end(), name, closing, said))
+        at = step.end()
+    return out
+
+
+def hidden_ends(found: list[Token]) -> dict[int, int]:
     """Start of each hidden element that has an end tag -> where that tag ends; a body also ends its head."""
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     held: dict[str, int] = {}
-    for m in FRAME.finditer(page):
-        if m[3] is None:
+    for start, end, name, closing, said in found:
+        if name not in HIDDEN and name not in FRAMES:
             continue
-        name = m[3].lower()
-        if name == "body" and not m[2] and held.get("head"):
+        if name == "body" and not closing and held.get("head"):
             while (last := stack.pop())[0] != "head":
                 held[last[0]] -= 1
             held["head"] -= 1
-            ends[last[1]] = m.start()
-        if not m[2]:
-            if not m[4].endswith("/") or name not in HIDDEN:
-                stack.append((name, m.start()))
+            ends[last[1]] = start
+        if not closing:
+            if not said.endswith("/") or name not in HIDDEN:
+                stack.append((name, start))
                 held[name] = held.get(name, 0) + 1
         elif held.get(name):
             while (last := stack.pop())[0] != name:
                 held[last[0]] -= 1
             held[name] -= 1
             if name in HIDDEN:
-                ends[last[1]] = m.end()
+                ends[last[1]] = end
     return ends
 
 
-def blocks(page: str) -> Iterator[tuple[str, float, bool, int]]:
-    """(text, link density, stands in a container without main text, number of its article or 0)."""
-    stack: list[tuple[str, bool, int]] = []
+class Open:
+    """The open elements: blocks on a stack, each with its open inline elements, and counts of what matters of them."""
+
+    def __init__(self) -> None:
+        #: Name, whether it holds no main text, number of its article or 0, inline elements.
+        self.stack: list[tuple[str, bool, int, dict[str, int]]] = [("", False, 0, {})]
+        self.names: dict[str, int] = {}
+        self.outside = self.links = self.articles = 0
+        self.inside = [0]
+
+    def push(self, name: str, outside: bool, article: bool) -> None:
+        self.articles += article
+        self.stack.append((name, outside, self.articles if article else 0, {}))
+        self.names[name] = self.names.get(name, 0) + 1
+        self.outside += outside
+        if article:
+            self.inside.append(self.articles)
+
+    def pop(self) -> str:
+        name, outside, article, inline = self.stack.pop()
+        self.names[name] -= 1
+        self.outside -= outside
+        self.links -= inline.get("a", 0)
+        if article:
+            self.inside.pop()
+        return name
+
+    def close(self, name: str) -> None:
+        if self.names.get(name):
+            while self.pop() != name:
+                pass
+
+    def inline(self, name: str, closing: bool) -> None:
+        held = self.stack[-1][3]
+        now = held.get(name, 0)
+        if not closing:
+            held[name] = 1 if name == "a" else now + 1
+        elif now:
+            held[name] = now - 1
+        if name == "a":
+            self.links += held.get(name, 0) - now
+
+
+#: Text, share of linked text, whether it stands in a container without main text, its article or 0, whether it is a heading.
+Block = tuple[str, float, bool, int, bool]
+
+
+def blocks(page: str) -> Iterator[Block]:
+    opened = Open()
     parts: list[str] = []
-    linked = breaks = articles = skip = 0
-    ends, hidden = hidden_ends(page), ""
+    linked = breaks = skip = 0
+    found, hidden = tokens(page), ""
+    ends = hidden_ends(found)
 
-    def done() -> Iterator[tuple[str, float, bool, int]]:
+    def done() -> Iterator[Block]:
         nonlocal linked, breaks
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            yield text, min(1.0, linked / len(text)), any(x[1] for x in stack), next((x[2] for x in reversed(stack) if x[2]), 0)
+            yield text, min(1.0, linked / len(text)), opened.outside > 0, opened.inside[-1], opened.stack[-1][0] in HEADINGS
         parts.clear()
         linked = breaks = 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() < skip:
+    for start, _, name, closing, said in found:
+        if start < skip:
             continue
-        text = m[5]
         if hidden:
-            if m[3] is None:
+            if not name:
                 continue
-            name = m[3].lower()
-            if name not in HIDDEN and (name not in IN_HEAD if hidden == "head" else name in BLOCKS and name not in WITHIN or m[2] and any(x[0] == name for x in stack)):
+            if name not in HIDDEN and (name not in IN_HEAD if hidden == "head" else name in BLOCKS and name not in WITHIN or closing and opened.names.get(name)):
                 hidden = ""
         if hidden:
-            skip = ends.get(m.start(), skip)
-            continue
-        if text is not None:
-            parts.append(text)
-            if not text.isspace():
+            skip = ends.get(start, skip)
+        elif not name:
+            parts.append(said)
+            if not said.isspace():
                 breaks = 0
-                if any(x[0] == "a" for x in stack):
-                    linked += len(" ".join(entities.unescape(text).split()))
-            continue
-        if m[3] is None:
-            continue
-        name, closing = m[3].lower(), bool(m[2])
-        if name in HIDDEN:
-            if not closing and not m[4].endswith("/"):
-                skip = ends.get(m.start(), 0)
+                if opened.links:
+                    linked += len(" ".join(entities.unescape(said).split()))
+        elif name in HIDDEN:
+            if not closing and not said.endswith("/"):
+                skip = ends.get(start, 0)
                 hidden = "" if skip else name
-            continue
-        if name == "br":
+        elif name == "br":
             breaks += 1
             parts.append(" ")
             if breaks > 1:
                 yield from done()
-            continue
-        if name in VOID:
+        elif name in VOID:
             if name == "hr":
                 yield from done()
-            continue
-        if name in BLOCKS:
+        elif name in BLOCKS:
             yield from done()
-        if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None and (name in BLOCKS or all(x[0] in LOOSE for x in stack[at + 1 :])):
-                del stack[at:]
-            continue
-        if name in BLOCKS:
-            while stack and stack[-1][0] in LOOSE and stack[-1][0] not in ("li", "td", "th", "dd", "tr"):
-                stack.pop()
-            if stack and stack[-1][0] == name and name in LOOSE:
-                stack.pop()
-        inside = next((x[2] for x in reversed(stack) if x[2]), 0)
-        said = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[4] or ""))
-        out = name in OUTSIDE or name == "header" and not inside or name not in ("html", "body", "article", "main") and bool(MARKED.search(said) or ROLE.search(said)) or name == "article" and bool(re.search(r"comment|reply", said, re.I))
-        number = 0
-        if name in ("article", "main"):
-            articles += 1
-            number = articles
-        stack.append((name, out, number))
+            if closing:
+                opened.close(name)
+                continue
+            if opened.stack[-1][0] == "p":
+                opened.pop()
+            if opened.stack[-1][0] in (name, LIKE.get(name)) and name in LIKE:
+                opened.pop()
+            marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(said))
+            article = name in ("article", "main")
+            outside = name in OUTSIDE or name == "header" and not opened.inside[-1] or name not in ("html", "body", "article", "main") and bool(MARKED.search(marks) or ROLE.search(marks)) or name == "article" and bool(COMMENT.search(marks))
+            opened.push(name, outside, article)
+        else:
+            opened.inline(name, closing)
     yield from done()
 
 
+def points(text: str, links: float, outside: bool, article: int, apart: bool) -> int | None:
+    """The points of a block; None for a short one whose place says nothing against it. ``apart`` is for a block outside the page's articles."""
+    against = 3 * outside + (not outside and apart) + (not article and bool(RIGHTS.search(text)))
+    if links > LINKS:
+        return BAD - against
+    if len(text) < SHORT:
+        return None if not against and not (links and not article) else BAD - against
+    seen = WORD.findall(text.lower())
+    density = sum(w in STOP_WORDS for w in seen) / max(1, len(seen))
+    said = 1 if density >= HIGH else 0 if density >= LOW else -1
+    return said + (len(text) > LONG) + (len(text) > VERY_LONG and said > 0) + bool(article and not outside) - against
+
+
+def nearest(labels: list[bool | None], of: list[int]) -> list[bool | None]:
+    """The last decided label before each block among those of its article."""
+    last: dict[int, bool] = {}
+    out = []
+    for label, article in zip(labels, of, strict=True):
+        out.append(last.get(article))
+        if label is not None:
+            last[article] = label
+    return out
+
+
+def judged(found: list[Block]) -> list[bool]:
+    """Both passes: whether each block is main text."""
+    some = any(x[3] for x in found)
+    scores = [points(text, links, outside, article, some and not article) for text, links, outside, article, _ in found]
+    labels = [None if p is None or BAD < p < GOOD else p >= GOOD for p in scores]
+    # Blocks in side containers decide nothing for those beside them.
+    votes = [None if x[2] and x[3] else label for label, x in zip(labels, found, strict=True)]
+    of = [x[3] for x in found]
+    before, after = nearest(votes, of), nearest(votes[::-1], of[::-1])[::-1]
+    out = []
+    for (text, _, outside, article, heading), label, one, two in zip(found, labels, before, after, strict=True):
+        if label is None:
+            sides = [x for x in (one, two) if x is not None] if article else [bool(one), bool(two)]
+            if outside:
+                label = False
+            elif sides and all(x == sides[0] for x in sides):
+                label = sides[0]
+            elif heading and two is not None:
+                label = two
+            else:
+                label = bool(article) or len(text) >= SHORT and any(sides)
+        out.append(label)
+    return out
+
+
 def main_text(page: str | None) -> str:
     found = list(blocks(page or ""))
-    labels: list[bool | None] = []
-    for text, links, outside, article in found:
-        seen = WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in seen) / max(1, len(seen))
-        if outside or links > LINKS or (not article and re.search(r"©|\bcopyright\b|all rights reserved", text, re.I)):
-            labels.append(False)
-        elif len(text) < SHORT:
-            labels.append(False if links and not article else None)
-        elif density >= HIGH and len(text) > LONG:
-            labels.append(True)
-        elif density >= LOW or article:
-            labels.append(None)
-        else:
-            labels.append(False)
-    kept = []
-    for i, (text, _, outside, article) in enumerate(found):
-        label = labels[i]
-        if label is None:
-            near = [False, False]
-            for side, step in enumerate((-1, 1)):
-                j = i + step
-                while 0 <= j < len(found) and (labels[j] is None or article and found[j][2]):
-                    j += step
-                near[side] = bool(article) if not 0 <= j < len(found) or article and found[j][3] != article else bool(labels[j])
-            label = all(near) if len(text) < SHORT and not article else any(near)
-        if label:
-            kept.append(text)
-    return "\n".join(kept)
+    return "\n".join(x[0] for x, good in zip(found, judged(found), strict=True) if good)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
