@@ -19,7 +19,9 @@ from wakeline.llm.common import bounded_join, checkpoint
 
 #: (verdict, host/path) of the rules.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-DAMPING, ROUNDS = 0.85, 8
+DAMPING = 0.85
+#: Rounds go on until no host's score moves by more than this, which the damping reaches within MOST_ROUNDS.
+TOLERANCE, MOST_ROUNDS = 1e-4, 60
 #: Share of a lone blocked seed's distrust above which a host is blocked: reached where about half of the
 #: host's links go straight to blocked seeds, or all of them over up to five steps.
 SHARE = 0.4
@@ -59,7 +61,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def _spread(scores: DataFrame, edges: DataFrame, seed: str, source: str, to: str) -> DataFrame:
     """One round: a share of each host's score goes over its edges, the rest comes from the seeds."""
     moved = edges.join(scores.select(F.col("host").alias(source), F.col("score").alias("_s")), source).groupBy(F.col(to).alias("host")).agg(F.sum(F.col("_s") * F.col("share")).alias("_in"))
-    return scores.join(moved, "host", "left").select("host", seed, (F.lit(1 - DAMPING) * F.col(seed) + F.lit(DAMPING) * F.coalesce("_in", F.lit(0.0))).alias("score"))
+    return scores.join(moved, "host", "left").select("host", seed, F.col("score").alias("_before"), (F.lit(1 - DAMPING) * F.col(seed) + F.lit(DAMPING) * F.coalesce("_in", F.lit(0.0))).alias("score"))
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, seed: str, reverse: bool) -> DataFrame:
@@ -67,11 +69,11 @@ def propagate(hosts: DataFrame, edges: DataFrame, seed: str, reverse: bool) -> D
     source, to = ("dst", "src") if reverse else ("src", "dst")
     out = edges.groupBy("src").agg(F.sum("n").alias("_all"))
     shares = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("share")))
-    scores = hosts.select("host", seed, F.col(seed).alias("score"))
-    for i in range(ROUNDS):
-        scores = _spread(scores, shares, seed, source, to)
-        if i % 4 == 3:
-            scores = checkpoint(scores)
+    scores = hosts.select("host", seed, (F.lit(1 - DAMPING) * F.col(seed)).alias("score"))
+    for _ in range(MOST_ROUNDS):
+        scores = checkpoint(_spread(scores, shares, seed, source, to))
+        if (scores.agg(F.max(F.abs(F.col("score") - F.col("_before")))).first()[0] or 0.0) <= TOLERANCE:
+            break
     return scores.select("host", F.col("score").alias(seed))
 
 
