@@ -57,7 +57,7 @@ def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return remove_repeats(documents(spark, sf_dir)).drop("kept", "text_hash")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

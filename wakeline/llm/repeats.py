@@ -4,14 +4,18 @@ Every byte covered by a string of `length` bytes that also starts earlier (small
 document and an earlier start) goes; texts are judged as they came in. Suffixes are sampled: each
 window of `length` bytes has an anchor, its 16-byte gram of least hash (the first of equals), so equal
 windows have equal anchors at equal places. Anchors that occur once drop out. The others go with the
-bytes around them to buckets by gram, where their suffixes are sorted, common prefixes computed and
-the interval tree scanned with a stack. In each interval, all of whose members share a right context,
-the left extensions are compared; where they agree over at least what the common prefix lacks of
-`length`, the occurrences are one repeat group, and all but its first are marked.
-
-Texts equal to one of a smaller doc_id are wholly repeated and take no part. Rows that repeat a doc_id
-share one result, the second copy of a text counting as the first. Null texts are empty; matches never
-cross documents; an empty table gives no rows; other columns are ignored.
+bytes around them to buckets by gram, where their suffixes are sorted, common prefixes computed and the
+interval tree scanned with a stack. In each interval, all of whose members share a right context, the
+reversed left contexts are sorted and scanned in the same way: an interval of these is a set of
+occurrences that agree in so many bytes to the left and no more, its members' next bytes to the left
+being diverse (or at an end of the text or of the context). Both together are a maximal repeat group,
+with all its occurrences; groups shorter than `length` are dropped. All occurrences of a group but the
+first are marked. repeat_groups_of() gives the groups themselves.
+
+In remove_repeats(), texts equal to one of a smaller doc_id are wholly repeated, so one of them stands
+for all, and so do equal contexts of a batch. A document is a (doc_id, text): rows that repeat both are
+one and share its result; texts that share a doc_id follow each other by their hash. Null texts are
+empty; matches never cross documents; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import as_bytes, bounded_join, checkpoint, chunks, mix, n_buckets, prefix_hash, span_hash, tidy
+from wakeline.llm.common import KEYS, as_bytes, bounded_join, checkpoint, chunks, keyed, mix, n_buckets, prefix_hash, span_hash, tidy
 
 GRAM = 16
-#: Members of an interval up to this number are compared pair by pair, more of them level by level.
-PAIRWISE = 24
+#: New spans that a task holds before it makes those that overlap one.
+SPANS_HELD = 100_000
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +64,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
 def _deal_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.asarray(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
+            ids, keys = (np.asarray(b.column(c).to_numpy(zero_copy_only=False), np.int64) for c in KEYS)
             parts = []
             for at, run in chunks(as_bytes(b.column("text"))):
                 text, place, h = anchors(run, length)
@@ -74,71 +78,103 @@ def _deal_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             for k in np.flatnonzero(cut[1:] > cut[:-1]):
                 w = order[cut[k] : cut[k + 1]]
                 new = np.concatenate(([True], text[w][1:] != text[w][:-1]))
-                cols = (ids[text[w][new]], np.diff(np.concatenate((np.flatnonzero(new), [len(w)]))).astype(np.uint32), place[w].astype(np.uint32), h[w].astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols)], ["bucket", "ids", "counts", "places", "grams"])
-
-    return docs.mapInArrow(tidy(deal), "bucket int, ids binary, counts binary, places binary, grams binary")
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """The places of each document whose grams occur more than once in the bucket."""
-    ids, counts, places, grams = (np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist()]) for k, kind in (("ids", np.int64), ("counts", np.uint32), ("places", np.uint32), ("grams", np.uint32)))
-    order = np.argsort(grams, kind="stable")
-    g = grams[order]
-    same = np.concatenate(([False], g[1:] == g[:-1], [False]))
-    often = np.zeros(len(g), bool)
-    often[order] = same[1:] | same[:-1]
-    owner = np.repeat(np.arange(len(ids)), counts)[often]
-    places = places[often]
-    cut = np.searchsorted(owner, np.arange(len(ids) + 1))
-    full = np.flatnonzero(cut[1:] > cut[:-1])
-    return pa.table([pa.array(ids[full], pa.int64()), pa.array([places[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names=["doc_id", "places"])
-
-
-_SPANS = "bucket int, doc_id long, place long, before int, context binary, start long, stop long"
-_NAMES = ["bucket", "doc_id", "place", "before", "context", "start", "stop"]
-
-
-def _first_of_equals(doc: np.ndarray, place: np.ndarray, key: list) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that come first (document, place) among those of equal key, and all others."""
-    order = np.lexsort((place, doc))
-    seen, first = set(), np.zeros(len(doc), bool)
-    for i in order:
-        if key[i] not in seen:
-            seen.add(key[i])
-            first[i] = True
-    return np.flatnonzero(first), np.flatnonzero(~first)
+                cols = (ids[text[w][new]], keys[text[w][new]], np.diff(np.concatenate((np.flatnonzero(new), [len(w)]))).astype(np.uint32), place[w].astype(np.uint32), h[w].astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols)], ["bucket", "ids", "keys", "counts", "places", "grams"])
+
+    return docs.mapInArrow(tidy(deal), "bucket int, ids binary, keys binary, counts binary, places binary, grams binary")
+
+
+def _repeated(parts: int):
+    """The places of each document whose grams occur more than once in the bucket, packed by a hash of the document."""
+
+    def repeated(table: pa.Table) -> pa.Table:
+        ids, keys, counts, places, grams = (np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist()]) for k, kind in (("ids", np.int64), ("keys", np.int64), ("counts", np.uint32), ("places", np.uint32), ("grams", np.uint32)))
+        order = np.argsort(grams, kind="stable")
+        g = grams[order]
+        same = np.concatenate(([False], g[1:] == g[:-1], [False]))
+        often = np.zeros(len(g), bool)
+        often[order] = same[1:] | same[:-1]
+        owner = np.repeat(np.arange(len(ids)), counts)[often]
+        places = places[often]
+        many = np.bincount(owner, minlength=len(ids)).astype(np.uint32)
+        part = (mix(ids.view(np.uint64) * np.uint64(3) + keys.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
+        order = np.lexsort((np.arange(len(owner)), part[owner]))
+        places, at = places[order], np.concatenate(([0], np.cumsum(np.bincount(part[owner].astype(np.int64), minlength=parts))))
+        out = []
+        for k in np.flatnonzero(at[1:] > at[:-1]):
+            own = np.flatnonzero((part == k) & (many > 0))
+            out.append((k, *(x.tobytes() for x in (ids[own], keys[own], many[own], places[at[k] : at[k + 1]]))))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "ids", "keys", "counts", "places"])
+
+    return repeated
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """One row for each document of a part, with all its places."""
+    ids, keys, counts, places = (np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist()]) for k, kind in (("ids", np.int64), ("keys", np.int64), ("counts", np.uint32), ("places", np.uint32)))
+    owner = np.repeat(np.arange(len(ids)), counts)
+    order = np.lexsort((places, keys[owner], ids[owner]))
+    owner, places = owner[order], places[order]
+    first = np.flatnonzero(np.concatenate(([True], (ids[owner][1:] != ids[owner][:-1]) | (keys[owner][1:] != keys[owner][:-1]))))
+    cut = np.append(first, len(places))
+    return pa.table([pa.array(ids[owner[first]]), pa.array(keys[owner[first]]), pa.array([places[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "text_hash", "places"])
+
+
+_CONTEXTS = "bucket int, doc_id long, text_hash long, place long, before int, context binary, start long, stop long"
+_NAMES = ["bucket", "doc_id", "text_hash", "place", "before", "context", "start", "stop"]
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+
+
+def _first_of_equals(doc: np.ndarray, key: np.ndarray, place: np.ndarray, context: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that come first (document, place) among those of equal context, all others, and the row that each of them repeats."""
+    order = np.lexsort((place, key, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for x in (doc, key, place):
+        new[1:] |= x[order][1:] != x[order][:-1]
+    seen: dict = {}
+    first, later, of = [], [], []
+    for i in order[new].tolist():
+        j = seen.setdefault(context[i], i)
+        if j == i:
+            first.append(i)
+        else:
+            later.append(i), of.append(j)
+    return np.array(first, np.int64), np.array(later, np.int64), np.array(of, np.int64)
 
 
-def _runs(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+def _runs(spans: list[tuple[int, int, int, int]]) -> list[list[int]]:
     """The spans (document, start, stop), those that overlap or touch made one."""
     out: list[list[int]] = []
-    for d, s, e in sorted(spans):
-        if out and out[-1][0] == d and s <= out[-1][2]:
-            out[-1][2] = max(out[-1][2], e)
+    for d, k, s, e in sorted(spans):
+        if out and out[-1][:2] == [d, k] and s <= out[-1][3]:
+            out[-1][3] = max(out[-1][3], e)
         else:
-            out.append([d, s, e])
+            out.append([d, k, s, e])
     return out
 
 
-def _deal_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Contexts of repeated anchors by bucket; in a batch, equal contexts go once and the later ones are spans."""
+def _deal_contexts(docs: DataFrame, length: int, buckets: int, collapse: bool) -> DataFrame:
+    """Contexts of repeated anchors by bucket; if ``collapse``, equal contexts of a batch go once and the later ones are spans, in buckets below 0."""
     reach = length - GRAM
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, place, before, context = [], [], [], []
-            for d, t, lists in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("places").to_pylist(), strict=True):
-                for p in np.frombuffer(b"".join(lists), np.uint32).tolist():
-                    doc.append(d), place.append(p), before.append(min(reach, p)), context.append(t[max(0, p - reach) : p + length])
+            doc, key, place, before, context = [], [], [], [], []
+            for d, k, t, packed in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), as_bytes(b.column("text")), b.column("places").to_pylist(), strict=True):
+                for p in np.frombuffer(packed, np.uint32).tolist():
+                    doc.append(d), key.append(k), place.append(p), before.append(min(reach, p)), context.append(t[max(0, p - reach) : p + length])
             if not doc:
                 continue
-            kept, later = _first_of_equals(np.array(doc), np.array(place), list(zip(before, context, strict=True)))
-            out = [(int(mix(np.array([int.from_bytes(hashlib.blake2b(context[i][before[i] : before[i] + GRAM], digest_size=8).digest(), "little")], np.uint64))[0] % np.uint64(buckets)), doc[i], place[i], before[i], context[i], None, None) for i in kept]
-            out += [(-1, d, None, None, None, s, e) for d, s, e in _runs([(doc[i], place[i] - before[i], place[i] - before[i] + len(context[i])) for i in later if len(context[i]) >= length])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], _NAMES)
+            kept, later, _ = _first_of_equals(np.array(doc), np.array(key), np.array(place), list(zip(before, context, strict=True)))
+            if not collapse:
+                kept, later = np.sort(np.concatenate((kept, later))), later[:0]
+            out = [(int(mix(np.array([int.from_bytes(hashlib.blake2b(context[i][before[i] : before[i] + GRAM], digest_size=8).digest(), "little")], np.uint64))[0] % np.uint64(buckets)), doc[i], key[i], place[i], before[i], context[i], None, None) for i in kept.tolist()]
+            out += [(-1 - d % buckets, d, k, None, None, None, s, e) for d, k, s, e in _runs([(doc[i], key[i], place[i] - before[i], place[i] - before[i] + len(context[i])) for i in later.tolist() if len(context[i]) >= length])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
 
-    return docs.mapInArrow(tidy(deal), _SPANS)
+    return docs.mapInArrow(tidy(deal), _CONTEXTS)
 
 
 def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -154,95 +190,155 @@ def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((left, common))
 
 
-def _left_extensions(left: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
-    """For each member, in order of occurrence, the longest left extension it shares with an earlier one (at least ``least``, else -1).
+def _sorted_prefixes(a: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of bytes (of which ``sizes`` count), and the common prefixes of neighbours in it."""
+    width = a.shape[1]
+    padded = np.zeros((len(a), -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = a
+    columns = padded.view(">u8")
+    order = np.lexsort([sizes, *(columns[:, i] for i in range(columns.shape[1] - 1, -1, -1))])
+    a, sizes = a[order], sizes[order]
+    differ = a[1:] != a[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
 
-    left holds the bytes before each anchor, last byte first.
-    """
-    n, width = left.shape
-    out = np.full(n, -1)
-    if n <= PAIRWISE:
-        differ = left[:, None, :] != left[None, :, :]
-        common = np.where(differ.any(axis=2), differ.argmax(axis=2), width)
-        common = np.minimum(common, np.minimum(sizes[:, None], sizes[None]))
-        best = np.where(np.tril(np.ones((n, n), bool), -1), common, -1).max(axis=1)
-        return np.where(best >= least, best, -1)
-    step = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
-    sums = np.concatenate((np.zeros((n, 1), np.uint64), np.cumsum(mix(left.astype(np.uint64) + np.uint64(1)) * step, axis=1, dtype=np.uint64)), axis=1)
-    for o in range(width, least - 1, -1):
-        able = np.flatnonzero(sizes >= o)
-        _, first = np.unique(sums[able, o], return_index=True)
-        later = np.ones(len(able), bool)
-        later[first] = False
-        hit = able[later]
-        out[hit] = np.maximum(out[hit], o)
-    return out
+
+def _diverse(side: np.ndarray, sizes: np.ndarray, members: np.ndarray, shared: int) -> bool:
+    """Whether the members' next bytes behind the ``shared`` ones differ, or one of them has none."""
+    return bool((sizes[members] <= shared).any() or (side[members, shared] != side[members[0], shared]).any())
 
 
-def repeat_groups(context: np.ndarray, before: np.ndarray, after: np.ndarray, order: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(members in order of occurrence, their left extensions, common right extension) of every interval.
+def repeat_groups(context: np.ndarray, before: np.ndarray, after: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(members, bytes they share before the anchor, bytes they share from it on) of every maximal repeat group.
 
-    context rows hold `length - GRAM` bytes before the anchor and `length` from it on; ``order`` ranks occurrences.
+    context rows hold `length - GRAM` bytes before the anchor and `length` from it on.
     """
     reach = length - GRAM
     right = context[:, reach:]
-    padded = np.zeros((len(context), -(-length // 8) * 8), np.uint8)
-    padded[:, :length] = right
-    columns = padded.view(">u8")
-    suffixes = np.lexsort([after, *(columns[:, i] for i in range(columns.shape[1] - 1, -1, -1))])
-    right, left = right[suffixes], context[suffixes, :reach][:, ::-1]
-    before, after, order = before[suffixes], after[suffixes], order[suffixes]
-    differ = right[1:] != right[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-    common = np.minimum(common, np.minimum(after[1:], after[:-1]))
-    for i, j, value in lcp_intervals([int(x) for x in common], GRAM):
-        members = np.arange(i, j + 1)
-        members = members[np.argsort(order[members], kind="stable")]
-        grown = _left_extensions(left[members], before[members], length - value)
-        hit = grown >= 0
-        if hit.any():
-            yield suffixes[members[hit]], grown[hit], value
+    suffixes, common = _sorted_prefixes(right, after)
+    left = np.ascontiguousarray(context[:, :reach][:, ::-1])
+    one, two = suffixes[:-1], suffixes[1:]
+    differ = left[one] != left[two]
+    beside = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), reach), np.minimum(before[one], before[two])).tolist()
+    for i, j, value in lcp_intervals(common.tolist(), GRAM):
+        members = suffixes[i : j + 1]
+        if j == i + 1:
+            if beside[i] + value >= length:
+                yield members, beside[i], value
+            continue
+        if value == length and _diverse(left, before, members, 0):
+            yield members, 0, value
+        able = members[before[members] >= max(1, length - value)]
+        if len(able) < 2:
+            continue
+        order, shared = _sorted_prefixes(left[able], before[able])
+        for x, y, grown in lcp_intervals(shared.tolist(), max(1, length - value)):
+            group = able[order[x : y + 1]]
+            if value == length or _diverse(right, after, group, value):
+                yield group, grown, value
+
+
+def _contexts(table: pa.Table, length: int) -> tuple:
+    """The arrays of a bucket: documents, keys, places, contexts; rows that stand for equal contexts, the others, and whom these repeat."""
+    doc, key, place, before = (np.asarray(table[k].to_numpy(), np.int64) for k in ("doc_id", "text_hash", "place", "before"))
+    texts = table["context"].to_pylist()
+    first, later, of = _first_of_equals(doc, key, place, list(zip(before.tolist(), texts, strict=True)))
+    reach = length - GRAM
+    after = np.array([len(texts[i]) for i in first]) - before[first]
+    context = np.frombuffer(b"".join(b"\0" * (reach - n) + texts[i] + b"\0" * (length - m) for i, n, m in zip(first.tolist(), before[first].tolist(), after.tolist(), strict=True)), np.uint8).reshape(len(first), reach + length)
+    return doc, key, place, before, texts, first, later, of, context, after
 
 
 def _scan(length: int):
-    reach = length - GRAM
-
     def scan(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() == -1:
-            return table.select(["doc_id", "start", "stop"])
-        doc, place, before = (np.asarray(table[k].to_numpy(), np.int64) for k in ("doc_id", "place", "before"))
-        texts = table["context"].to_pylist()
-        first, later = _first_of_equals(doc, place, list(zip(before.tolist(), texts, strict=True)))
-        out = [np.array([(doc[i], place[i] - before[i], place[i] - before[i] + len(texts[i])) for i in later if len(texts[i]) >= length], np.int64).reshape(-1, 3)]
-        doc, place, before = doc[first], place[first], before[first]
-        after = np.array([len(texts[i]) for i in first]) - before
-        context = np.frombuffer(b"".join(b"\0" * (reach - n) + texts[i] + b"\0" * (length - m) for i, n, m in zip(first, before.tolist(), after.tolist(), strict=True)), np.uint8).reshape(len(first), reach + length)
-        order = np.empty(len(doc), np.int64)
-        order[np.lexsort((place, doc))] = np.arange(len(doc))
-        for members, grown, value in repeat_groups(context, before, after, order, length):
-            out.append(np.stack((doc[members], place[members] - grown, place[members] + value), 1))
-        spans = np.unique(np.concatenate(out), axis=0)
-        return pa.table([pa.array(np.ascontiguousarray(spans[:, i])) for i in range(3)], names=["doc_id", "start", "stop"])
+        if table["bucket"][0].as_py() < 0:
+            return table.select([*KEYS, "start", "stop"])
+        doc, key, place, before, texts, first, later, _, context, after = _contexts(table, length)
+        out = [np.array([(doc[i], key[i], place[i] - before[i], place[i] - before[i] + len(texts[i])) for i in later.tolist() if len(texts[i]) >= length], np.int64).reshape(-1, 4)]
+        doc, key, place, before = doc[first], key[first], place[first], before[first]
+        # first holds the rows in order of occurrence, so that the least member of a group is its first occurrence.
+        held = len(out[0])
+        for members, grown, value in repeat_groups(context, before, after, length):
+            rest = members[members != members.min()]
+            out.append(np.stack((doc[rest], key[rest], place[rest] - grown, place[rest] + value), 1))
+            held += len(rest)
+            if held > SPANS_HELD:
+                out = [_merged(np.concatenate(out))]
+                held = 0
+        spans = _merged(np.concatenate(out))
+        return pa.table([pa.array(np.ascontiguousarray(spans[:, i])) for i in range(4)], names=["doc_id", "text_hash", "start", "stop"])
 
     return scan
 
 
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """The spans (document, key, start, stop), those that overlap or touch made one."""
+    spans = spans[np.lexsort((spans[:, 3], spans[:, 2], spans[:, 1], spans[:, 0]))]
+    if not len(spans):
+        return spans
+    new = np.concatenate(([True], (spans[1:, :2] != spans[:-1, :2]).any(axis=1)))
+    document = np.cumsum(new)
+    wide = np.int64(1 << 33)
+    reached = np.maximum.accumulate(spans[:, 3] + document * wide) - document * wide
+    new[1:] |= spans[1:, 2] > reached[:-1]
+    first = np.flatnonzero(new)
+    out = spans[first]
+    out[:, 3] = np.maximum.reduceat(spans[:, 3], first)
+    return out
+
+
+def _groups(length: int):
+    """Every occurrence of every group of a bucket."""
+
+    def groups(table: pa.Table) -> pa.Table:
+        doc, key, place, before, texts, first, later, of, context, after = _contexts(table, length)
+        copies: dict[int, list[int]] = {}
+        for i, j in zip(later.tolist(), of.tolist(), strict=True):
+            copies.setdefault(j, []).append(i)
+        found = [([i], int(before[i]), len(texts[i]) - int(before[i])) for i in copies if len(texts[i]) >= length]
+        found += [(first[members].tolist(), grown, value) for members, grown, value in repeat_groups(context, before[first], after, length)]
+        rows = []
+        for members, grown, value in found:
+            i = members[0]
+            name = hashlib.blake2b(texts[i][before[i] - grown : before[i] + value], digest_size=16).hexdigest()
+            rows += [(name, grown + value, int(doc[k]), int(key[k]), int(place[k]) - grown) for m in members for k in (m, *copies.get(m, ()))]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["repeat", "length", "doc_id", "text_hash", "start"])
+
+    return groups
+
+
+def _held(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """The documents (doc_id, text_hash, text) that have anchors that occur more than once, and the places of these."""
+    packed = _deal_anchors(docs, length, buckets).groupBy("bucket").applyInArrow(tidy(_repeated(buckets)), "part int, ids binary, keys binary, counts binary, places binary")
+    places = packed.groupBy("part").applyInArrow(tidy(_gathered), "doc_id long, text_hash long, places binary")
+    return bounded_join(docs, checkpoint(places), KEYS, size=F.octet_length("places"))
+
+
+def repeat_groups_of(docs: DataFrame, length: int = 100) -> DataFrame:
+    """repeat, length, doc_id, text_hash, start: all occurrences of all maximal repeat groups.
+
+    A repeat of `length` bytes or more is seen through each of its anchors' contexts, which reach
+    `length` minus 16 bytes before the anchor and `length` from it on; a group of more appears cut to that reach too.
+    """
+    docs, buckets = keyed(docs), n_buckets(docs)
+    return _deal_contexts(_held(docs, length, buckets), length, 4 * buckets, False).groupBy("bucket").applyInArrow(tidy(_groups(length)), "repeat string, length long, doc_id long, text_hash long, start long").distinct()
+
+
 def without_twins(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents that are the first of their text, and the doc_ids of all others."""
-    keys = checkpoint(docs.select("doc_id", F.sha2("text", 256).alias("key")))
-    first = keys.groupBy("key").agg(F.min("doc_id").alias("_first"))
-    twins = checkpoint(keys.join(first, "key").where("doc_id > _first").select("doc_id").distinct())
-    return bounded_join(docs, twins, "doc_id", "left_anti"), twins
+    """The documents that are the first of their text, and (doc_id, text_hash) of all others."""
+    keys = checkpoint(docs.select(*KEYS, F.sha2("text", 256).alias("key")))
+    first = keys.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+    twins = checkpoint(bounded_join(keys, checkpoint(first), "key").where("doc_id > _first").select(*KEYS).distinct())
+    return bounded_join(docs, twins, KEYS, "left_anti"), twins
 
 
 def repeat_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Spans (doc_id, start, stop) to remove from texts that are the first of their kind, and the doc_ids of copies."""
+    """Spans (doc_id, text_hash, start, stop) to remove from texts that are the first of their kind, and the keys of copies."""
     firsts, twins = without_twins(docs)
     buckets = n_buckets(docs)
-    places = _deal_anchors(firsts, length, buckets).groupBy("bucket").applyInArrow(tidy(_repeated), "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    held = bounded_join(firsts, checkpoint(places), "doc_id", size=F.expr("aggregate(places, 0L, (n, x) -> n + octet_length(x))"))
-    spans = _deal_contexts(held, length, 4 * buckets).groupBy("bucket").applyInArrow(tidy(_scan(length)), "doc_id long, start long, stop long")
-    return checkpoint(spans), twins
+    contexts = _deal_contexts(_held(firsts, length, buckets), length, 8 * buckets, True)
+    return checkpoint(contexts.groupBy("bucket").applyInArrow(tidy(_scan(length)), "doc_id long, text_hash long, start long, stop long")), twins
 
 
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -259,24 +355,25 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and text_hash of every row."""
+    docs = keyed(docs)
     spans, twins = repeat_spans(docs, length)
-    ordered = Window.partitionBy("doc_id").orderBy("start", "stop")
+    ordered = Window.partitionBy(*KEYS).orderBy("start", "stop")
     reached = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     numbered = spans.withColumn("_new", (F.col("start") > F.coalesce(reached, F.lit(-1))).cast("int")).withColumn("_run", F.sum("_new").over(ordered))
-    runs = numbered.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    packed = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    marked = packed.join(twins.withColumn("twin", F.lit(True)), "doc_id", "full")
+    runs = numbered.groupBy(*KEYS, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    packed = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    marked = packed.join(twins.withColumn("twin", F.lit(True)), KEYS, "full")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for d, raw, spans, twin in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("spans").to_pylist(), b.column("twin").to_pylist(), strict=True):
+            for d, k, raw, spans, twin in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), as_bytes(b.column("text")), b.column("spans").to_pylist(), b.column("twin").to_pylist(), strict=True):
                 pairs = [(0, len(raw))] if twin and len(raw) >= length else [(x["start"], x["stop"]) for x in spans or ()]
                 kept, removed, runs = _cut(raw, pairs)
-                out.append((d, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((d, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept, k))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_hash"])
 
-    return bounded_join(docs, checkpoint(marked), "doc_id", "left", size=F.coalesce(F.size("spans"), F.lit(0)) * 40).select("doc_id", "text", "spans", "twin").mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    held = bounded_join(docs, checkpoint(marked), KEYS, "left", size=F.coalesce(F.size("spans"), F.lit(0)) * 40)
+    return held.select(*KEYS, "text", "spans", "twin").mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text_hash long")
