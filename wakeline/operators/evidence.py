@@ -54,6 +54,25 @@ def without_duplicates(positions: DataFrame) -> DataFrame:
 
 
 def latest(positions: DataFrame, *keys: str) -> DataFrame:
-    """The newest row for each key (of equals, the largest event_id)."""
+    """The newest row for each key (of equals, the least event_id)."""
     rest = [c for c in positions.columns if c not in keys]
-    return positions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("received_at", "event_id")).alias("_r")).select(*keys, "_r.*")
+    return positions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col("received_at"), -F.col("event_id"))).alias("_r")).select(*keys, "_r.*")
+
+
+def last_before(incidents: DataFrame, positions: DataFrame, most: int, hours: int) -> DataFrame:
+    """incident_id and the last ``most`` of the vessel's reports in the hours up to the flag, oldest first by `place`."""
+    newest = Window.partitionBy("incident_id").orderBy(F.desc("received_at"), F.desc("event_id"))
+    return track_history(incidents, positions, hours).withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+
+
+def same_kind_elsewhere(incidents: DataFrame, kind: str, most: int = 10) -> DataFrame:
+    """incident_id, other_id: each incident's newest ``most`` of the same kind on other vessels.
+
+    Of each kind, twice as many rows are enough where no vessel has more than ``most`` of them.
+    """
+    by_time = (F.desc("flagged_at"), F.desc("incident_id"))
+    own = incidents.withColumn("_v", F.row_number().over(Window.partitionBy(kind, "mmsi").orderBy(*by_time))).where(F.col("_v") <= most)
+    top = own.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(*by_time))).where(F.col("_k") <= 2 * most)
+    held = top.select(kind, F.col("mmsi").alias("_mmsi"), F.col("incident_id").alias("other_id"), F.col("flagged_at").alias("_at"))
+    met = incidents.select("incident_id", "mmsi", kind).join(held, kind).where("mmsi <> _mmsi")
+    return met.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("_at"), F.desc("other_id")))).where(F.col("place") <= most).select("incident_id", "other_id", "place")

@@ -30,12 +30,21 @@ def shares_above(histogram: DataFrame) -> DataFrame:
     """lower_edge and share of the counts in a bin or above it; at most BINS rows, in one ordered window."""
     above = F.sum("n").over(Window.orderBy(F.desc("bin")))
     total = F.sum("n").over(Window.partitionBy())
-    return histogram.select("bin", "n", edge(F.col("bin")).alias("lower_edge"), (above / total).alias("share"))
+    return histogram.select("bin", "n", edge(F.col("bin")).alias("lower_edge"), (above / total).alias("share"), (F.col("n") / total).alias("own"))
 
 
 def threshold_for_share(histogram: DataFrame, target: float) -> DataFrame:
-    """The least bin edge at or above which no more than ``target`` of the counts lie; null if there is none."""
-    return shares_above(histogram).where(F.col("share") <= target).agg(F.min("lower_edge").alias("threshold"))
+    """The least threshold above which no more than ``target`` of the counts lie, log-linear inside a bin; null without counts."""
+    if not 0 < target < 1:
+        raise ValueError("target lies between 0 and 1")
+    crossed = shares_above(histogram).where(F.col("share") > target).agg(F.max_by(F.struct("bin", "own", "share"), "bin").alias("c")).select("c.*")
+    return crossed.select((edge(F.col("bin") + 1) * F.pow(F.lit(10.0), -(target - F.col("share") + F.col("own")) / F.col("own") / PER)).alias("threshold"))
+
+
+def share_above(histogram: DataFrame, threshold: float) -> DataFrame:
+    """Share of the counts above a threshold, log-linear inside its bin; 0 without counts."""
+    inside = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log10(edge(F.col("bin") + 1) / F.lit(threshold)) * PER))
+    return histogram.agg(F.coalesce(F.sum(F.col("n") * inside) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("share"))
 
 
 def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:

@@ -39,5 +39,8 @@ def priority(confidence: Column, strength: Column, scope: Column, benign: Column
     return F.round(F.least(F.lit(1.0), F.greatest(plain - 0.25 * benign, 0.75 * plain)), 3)
 
 
-def strength(score: Column, a: float, b: float) -> Column:
+def strength(score: Column, a: float | None, b: float | None) -> Column:
+    """Where a score lies between the thresholds, 0 to 1; half without thresholds."""
+    if a is None or b is None:
+        return F.lit(0.5)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - a) / (b - a)))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from wakeline.functions.cleaning import placed
 from wakeline.functions.geo import angle_between, bearing, haversine_km
 from wakeline.settings import FREEZE_IMPLIED, FREEZE_VOTE, KNOTS_PER_KM_H, MAX_GAP_S, WINDOW
 
@@ -55,7 +56,12 @@ def steps(df: DataFrame, along: WindowSpec | None = None) -> DataFrame:
 
 def skip_reason(max_gap_s: float = MAX_GAP_S) -> Column:
     """First failing reason of a step, in fixed order; null where it can be judged."""
-    return F.when(F.col("gap_s").isNull(), None).when(F.col("gap_s") <= 0, "non_positive_dt").when(F.col("gap_s") > max_gap_s, "long_gap").when(F.abs("dlon") > 180, "antimeridian")
+    return F.when(F.col("gap_s").isNotNull() & ~placed(F.col("lat"), F.col("lon")), "invalid_coordinate").when(F.col("gap_s").isNull(), None).when(F.col("gap_s") <= 0, "non_positive_dt").when(F.col("gap_s") > max_gap_s, "long_gap").when(F.abs("dlon") > 180, "antimeridian")
+
+
+def scoreable(max_gap_s: float = MAX_GAP_S) -> Column:
+    """Whether a report of a window has a step that can be judged."""
+    return (F.col("place") > 0) & skip_reason(max_gap_s).isNull()
 
 
 def with_error(df: DataFrame, along: WindowSpec | None = None) -> DataFrame:
@@ -75,6 +81,10 @@ def freeze_pair() -> Column:
     return (F.col("gap_s") > 0) & F.col("implied").between(0, FREEZE_IMPLIED) & (F.col("sog") > FREEZE_VOTE)
 
 
+def valid_step() -> Column:
+    return F.col("implied") != -1
+
+
 def course_off() -> Column:
     return angle_between(F.col("cog"), F.col("step_bearing"))
 

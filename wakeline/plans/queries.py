@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.cleaning import drop_reason, known_course, known_speed
-from wakeline.functions.geo import haversine_km
+from wakeline.functions.geo import angle_between, haversine_km
 from wakeline.operators import evidence, reports, rules
 from wakeline.operators.clusters import clusters
 from wakeline.operators.detectors import flagged, votes
-from wakeline.operators.windows import course_off, fixed_windows, freeze_pair, freeze_score, last_reports, runs, seconds, skip_reason, steps, track, with_error
+from wakeline.operators.windows import chunk, course_off, fixed_windows, freeze_pair, freeze_score, last_reports, runs, scoreable, seconds, skip_reason, steps, track, valid_step, with_error
+from wakeline.settings import UNDERWAY_KNOTS
 from wakeline.sources.tracks import live, positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,7 @@ STEPS = (
 WINDOWS = f"{LIVE}, {NUMBERED.format(src='live')}, {STEPS.format(src='win', key='mmsi, window_index')}"
 ERRORS = f"{WINDOWS}, er AS (SELECT *, coalesce(sqrt(pow(dlat - lag(dlat) OVER w, 2) + pow(dlon - lag(dlon) OVER w, 2)), 0) AS error, CASE WHEN sog IS NOT NULL AND implied BETWEEN 0 AND 0.5 THEN greatest(0, sog - implied) ELSE 0 END AS fr FROM st WINDOW w AS (PARTITION BY mmsi, window_index ORDER BY received_at, event_id))"
 VOTED = f"{ERRORS}, vo AS (SELECT *, CAST(fr > 0.5 AS INT) + CAST(error > {A} AS INT) AS n_votes, concat_ws('+', CASE WHEN fr > 0.5 THEN 'freeze_replay' END, CASE WHEN error > {A} THEN 'prediction_error' END) AS votes FROM er)"
+GATE = f"place > 0 AND gap_s > 0 AND gap_s <= {MAX_GAP} AND abs(dlon) <= 180"
 INCIDENTS = f"{LIVE}, inc AS (SELECT event_id AS incident_id, mmsi, received_at AS flagged_at, t, lat, lon, sog AS score FROM live WHERE message_type = 'error')"
 
 
@@ -80,7 +82,7 @@ def live_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live(spark, sf_dir).agg(F.count("*").alias("reports"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"), F.count_distinct("mmsi").alias("vessels"))
 
 
-@query(f"WITH {LIVE} SELECT mmsi, event_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM live QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY received_at DESC, event_id DESC) = 1")
+@query(f"WITH {LIVE} SELECT mmsi, event_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM live QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY received_at DESC, event_id) = 1")
 def latest_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.latest(_live(spark, sf_dir), "mmsi").select("mmsi", "event_id", _6("lat"), _6("lon"))
 
@@ -102,23 +104,25 @@ def step_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(spark, sf_dir).groupBy(F.coalesce(skip_reason(MAX_GAP), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {VOTED} SELECT mmsi, window_index, event_id, votes, n_votes, round(error, 6) AS error, CASE WHEN error > {A} AND error >= {B} THEN 'B' ELSE 'A' END AS tier FROM vo WHERE n_votes >= 1 QUALIFY row_number() OVER (PARTITION BY mmsi, window_index ORDER BY n_votes DESC, error DESC, place DESC) = 1")
+@query(f"WITH {VOTED} SELECT mmsi, window_index, event_id, votes, n_votes, round(error, 6) AS error, CASE WHEN error > {A} AND error >= {B} THEN 'B' ELSE 'A' END AS tier FROM vo WHERE n_votes >= 1 AND {GATE} QUALIFY row_number() OVER (PARTITION BY mmsi, window_index ORDER BY n_votes DESC, error DESC, place DESC) = 1")
 def flagged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagged(votes(with_error(_steps(spark, sf_dir)), A), B).select("mmsi", F.col("window_index").cast("long"), "event_id", "votes", "n_votes", _6("error"), "tier")
+    return flagged(votes(with_error(_steps(spark, sf_dir)), A), B, max_gap_s=MAX_GAP).select("mmsi", F.col("window_index").cast("long"), "event_id", "votes", "n_votes", _6("error"), "tier")
 
 
-@query(f"WITH {VOTED} SELECT round(avg(CAST(error > {A} AS INT)), 6) AS flag_rate, round(avg(CAST(n_votes >= 1 AS INT)), 6) AS any_vote, round(avg(CAST(n_votes >= 2 AS INT)), 6) AS two_votes, round(avg(CAST(error > {A} AS INT)) FILTER (WHERE sog > 1), 6) AS underway_rate, round(avg(CAST(error > {A} AS INT)) FILTER (WHERE sog <= 1), 6) AS stationary_rate FROM vo")
+@query(f"WITH {VOTED}, k AS (SELECT *, max(implied) OVER (PARTITION BY mmsi, window_index) > 1 AS underway FROM vo) SELECT round(avg(CAST(error > {A} AS INT)), 6) AS flag_rate, round(avg(CAST(n_votes >= 1 AS INT)), 6) AS any_vote, round(avg(CAST(n_votes >= 2 AS INT)), 6) AS two_votes, round(avg(CAST(error > {A} AS INT)) FILTER (WHERE underway), 6) AS underway_rate, round(avg(CAST(error > {A} AS INT)) FILTER (WHERE NOT underway), 6) AS stationary_rate FROM k WHERE {GATE}")
 def vote_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = votes(with_error(_steps(spark, sf_dir)), A)
+    """Rates over reports whose step can be judged; a window is underway by its fastest step, judged or not."""
+    moving = F.max("implied").over(Window.partitionBy("mmsi", "window_index")) > UNDERWAY_KNOTS
+    v = votes(with_error(_steps(spark, sf_dir)), A).withColumn("underway", moving).where(scoreable(MAX_GAP))
     over = (F.col("error") > A).cast("int")
-    rates = {"flag_rate": over, "any_vote": (F.col("n_votes") >= 1).cast("int"), "two_votes": (F.col("n_votes") >= 2).cast("int"), "underway_rate": F.when(F.col("sog") > 1, over), "stationary_rate": F.when(F.col("sog") <= 1, over)}
+    rates = {"flag_rate": over, "any_vote": (F.col("n_votes") >= 1).cast("int"), "two_votes": (F.col("n_votes") >= 2).cast("int"), "underway_rate": F.when(F.col("underway"), over), "stationary_rate": F.when(~F.col("underway"), over)}
     return v.agg(*(F.round(F.avg(c), 6).alias(k) for k, c in rates.items()))
 
 
-@query(f"WITH {ERRORS} SELECT p, round(v, 6) AS error FROM (SELECT unnest([0.5, 0.9, 0.95, 0.99, 0.999])::DOUBLE AS p, unnest(quantile_cont(error, [0.5, 0.9, 0.95, 0.99, 0.999])) AS v FROM er)")
+@query(f"WITH {ERRORS} SELECT p, round(v, 6) AS error FROM (SELECT unnest([0.5, 0.9, 0.95, 0.99, 0.999])::DOUBLE AS p, unnest(quantile_cont(error, [0.5, 0.9, 0.95, 0.99, 0.999])) AS v FROM er WHERE {GATE})")
 def error_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = [0.5, 0.9, 0.95, 0.99, 0.999]
-    found = with_error(_steps(spark, sf_dir)).agg(F.percentile("error", F.array(*map(F.lit, shares))).alias("v"))
+    found = with_error(_steps(spark, sf_dir)).where(scoreable(MAX_GAP)).agg(F.percentile("error", F.array(*map(F.lit, shares))).alias("v"))
     return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("p"), F.col("v"))).alias("x")).select(F.col("x.p").alias("p"), F.round("x.v", 6).alias("error"))
 
 
@@ -139,11 +143,27 @@ def histogram_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.shares_above(_histogram(spark, sf_dir)).select("bin", _6("lower_edge"), _6("share"))
 
 
-@query(f"WITH {HIST}, s AS (SELECT 1e-5 * pow(10, bin / 20) AS e, sum(n) OVER (ORDER BY bin DESC) / sum(n) OVER () AS share FROM hist) SELECT round(min(e), 6) AS threshold FROM s WHERE share <= 1e-1")
+CROSSED = "(SELECT bin, n, sum(n) OVER (ORDER BY bin DESC) AS c, sum(n) OVER () AS total FROM hist)"
+THRESHOLD = "round(exp(ln(1e-5) + (bin + 1) * ln(10) / 20 - (s * total - (c - n)) / n * ln(10) / 20), 6) AS threshold"
+
+
+@query(f"WITH {HIST} SELECT {THRESHOLD} FROM {CROSSED}, (SELECT 0.1::DOUBLE AS s) WHERE c > s * total QUALIFY row_number() OVER (ORDER BY bin DESC) = 1")
 def histogram_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.threshold_for_share(_histogram(spark, sf_dir), 0.1).select(_6("threshold"))
 
 
+@query(f"WITH {HIST} SELECT s AS share, {THRESHOLD} FROM {CROSSED}, (SELECT unnest([1e-1, 1e-2, 1e-3])::DOUBLE AS s) WHERE c > s * total QUALIFY row_number() OVER (PARTITION BY s ORDER BY bin DESC) = 1")
+def score_at_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = _histogram(spark, sf_dir)
+    found = [reports.threshold_for_share(hist, s).select(F.lit(s).alias("share"), _6("threshold")) for s in (1e-1, 1e-2, 1e-3)]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query(f"WITH {HIST}, e AS (SELECT n, 1e-5 * pow(10, bin / 20) AS low, 1e-5 * pow(10, (bin + 1) / 20) AS high FROM hist) SELECT round(sum(CASE WHEN low >= 0.7 THEN n WHEN high <= 0.7 THEN 0 ELSE n * (ln(high) - ln(0.7)) / (ln(high) - ln(low)) END) / sum(n), 6) AS share FROM e")
+def histogram_share_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.share_above(_histogram(spark, sf_dir), 0.7).select(_6("share"))
+
+
 @query(f"WITH {LIVE} SELECT event_id, mmsi, c_name AS name, c_nationkey AS ship_type FROM live LEFT JOIN customer ON c_custkey = mmsi")
 def position_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("mmsi"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("ship_type"))
@@ -198,18 +218,33 @@ def freeze_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _last(spark, sf_dir).groupBy("mmsi").agg(n.alias("n_freeze"), (n >= 3).alias("matched"), ((F.count("sog") >= 10) & (F.median("sog") <= 0.5)).alias("stationary"))
 
 
-@query(f"WITH {LIVE}, c AS (SELECT *, sum((NOT coalesce(sog <= 5, false))::INT) OVER (PARTITION BY mmsi ORDER BY received_at, event_id) AS island FROM live), r AS (SELECT mmsi, island, count(*) FILTER (WHERE sog <= 5) AS n FROM c GROUP BY ALL) SELECT mmsi, max(n) AS longest_run FROM r GROUP BY mmsi")
+@query(f"WITH {LAST}, c AS (SELECT *, coalesce(gap_s > 0 AND implied <= 0.5 AND sog > 0.5, false) AS said FROM st), i AS (SELECT *, sum((NOT said)::INT) OVER (PARTITION BY mmsi ORDER BY received_at, event_id) AS island FROM c), r AS (SELECT mmsi, island, count(*) FILTER (WHERE said) AS n FROM i GROUP BY ALL) SELECT mmsi, max(n) AS longest_run FROM r GROUP BY mmsi")
 def longest_slow_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs(_live(spark, sf_dir), F.col("sog") <= 5)
+    """The longest run of steps that stand while speed is told, among each vessel's last reports."""
+    return runs(_last(spark, sf_dir), freeze_pair())
 
 
-@query(f"WITH {WINDOWS} SELECT mmsi, window_index, round(max(step_km), 6) AS max_step_km, round(avg(sog) FILTER (WHERE place >= 14) - avg(sog) FILTER (WHERE place < 6), 6) AS trend, round(max(CASE WHEN sog > 1 THEN least((abs(cog - step_bearing)) % 360, 360 - (abs(cog - step_bearing)) % 360) END), 4) AS max_course_off, round(median(sog), 6) AS median_sog, max(implied) > 1 AS underway FROM st GROUP BY mmsi, window_index")
+@query(
+    f"WITH {WINDOWS}, a AS (SELECT *, implied <> -1 AS ok, lag(cog) OVER (PARTITION BY mmsi, window_index ORDER BY place) AS pcog FROM st), b AS (SELECT *, implied - sog AS d, sum((ok AND sog IS NOT NULL)::INT) OVER (PARTITION BY mmsi, window_index ORDER BY place) - 1 AS i, sum((ok AND sog IS NOT NULL)::INT) OVER (PARTITION BY mmsi, window_index) AS m FROM a) "
+    "SELECT mmsi, window_index, round(max(step_km) FILTER (WHERE ok), 6) AS max_step_km, round(coalesce(avg(d) FILTER (WHERE ok AND sog IS NOT NULL AND i >= m - greatest(1, m // 3)) - avg(d) FILTER (WHERE ok AND sog IS NOT NULL AND i < greatest(1, m // 3)), 0), 5) AS trend, "
+    "round(max(least(abs(cog - pcog) % 360, 360 - abs(cog - pcog) % 360)) FILTER (WHERE ok), 4) AS max_course_change, round(max(least(abs(cog - step_bearing) % 360, 360 - abs(cog - step_bearing) % 360)) FILTER (WHERE implied > 1), 4) AS max_course_off, round(median(sog), 6) AS median_sog, max(implied) > 1 AS underway FROM b GROUP BY mmsi, window_index"
+)
 def window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    third = lambda test: F.avg(F.when(test, F.col("sog")))
-    return _steps(spark, sf_dir).groupBy("mmsi", F.col("window_index").cast("long").alias("window_index")).agg(F.round(F.max("step_km"), 6).alias("max_step_km"), F.round(third(F.col("place") >= 14) - third(F.col("place") < 6), 6).alias("trend"), F.round(F.max(F.when(F.col("sog") > 1, course_off())), 4).alias("max_course_off"), F.round(F.median("sog"), 6).alias("median_sog"), (F.max("implied") > 1).alias("underway"))
-
-
-@query(f"WITH {LIVE}, k AS (SELECT *, floor(t / 1800)::BIGINT AS bucket FROM live) SELECT bucket, mmsi, arg_max(event_id, (received_at, event_id)) AS event_id FROM k GROUP BY bucket, mmsi")
+    """Trend: what steps imply beyond what is told, last third of the valid steps against the first."""
+    whole = Window.partitionBy("mmsi", "window_index")
+    told = (valid_step() & F.col("sog").isNotNull()).cast("int")
+    s = _steps(spark, sf_dir).withColumns({"_i": F.sum(told).over(chunk()) - 1, "_m": F.sum(told).over(whole), "_turn": angle_between(F.lag("cog").over(chunk()), F.col("cog"))})
+    third = F.greatest(F.lit(1), F.floor(F.col("_m") / 3))
+    mean = lambda test: F.avg(F.when((told == 1) & test, F.col("implied") - F.col("sog")))
+    trend = F.coalesce(mean(F.col("_i") >= F.col("_m") - third) - mean(F.col("_i") < third), F.lit(0.0))
+    most = lambda test, c, places: F.round(F.max(F.when(test, c)), places)
+    return s.groupBy("mmsi", F.col("window_index").cast("long").alias("window_index")).agg(
+        most(valid_step(), F.col("step_km"), 6).alias("max_step_km"), F.round(trend, 5).alias("trend"), most(valid_step(), F.col("_turn"), 4).alias("max_course_change"),
+        most(F.col("implied") > UNDERWAY_KNOTS, course_off(), 4).alias("max_course_off"), F.round(F.median("sog"), 6).alias("median_sog"), (F.max("implied") > UNDERWAY_KNOTS).alias("underway"),
+    )
+
+
+@query(f"WITH {LIVE}, k AS (SELECT *, floor(t / 1800)::BIGINT AS bucket FROM live) SELECT bucket, mmsi, arg_max(event_id, (received_at, -event_id)) AS event_id FROM k GROUP BY bucket, mmsi")
 def latest_in_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.latest(_live(spark, sf_dir).withColumn("bucket", F.floor(seconds("received_at") / 1800)), "bucket", "mmsi").select("bucket", "mmsi", "event_id")
 
@@ -250,10 +285,10 @@ def console_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("o_orderpriority"), F.desc_nulls_last("o_totalprice"), F.desc("o_orderdate"), "o_orderkey").limit(51).select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
 
 
-@query(f"WITH {VOTED} SELECT event_id, n_votes, round(error, 6) AS error FROM vo ORDER BY n_votes DESC, vo.error DESC, received_at DESC, event_id LIMIT 25")
+@query(f"WITH {VOTED} SELECT event_id, n_votes, round(error, 6) AS error FROM vo WHERE {GATE} ORDER BY n_votes DESC, vo.error DESC, received_at DESC, event_id LIMIT 25")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cycle's cap: the 25 strongest reports."""
-    v = votes(with_error(_steps(spark, sf_dir)), A)
+    v = votes(with_error(_steps(spark, sf_dir)), A).where(scoreable(MAX_GAP))
     return v.orderBy(F.desc("n_votes"), F.desc("error"), F.desc("received_at"), "event_id").limit(25).select("event_id", "n_votes", _6("error"))
 
 
@@ -313,3 +348,74 @@ def track_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = track()
     before = _live(spark, sf_dir).withColumns({"_y": F.lag("lat").over(w), "_x": F.lag("lon").over(w)})
     return before.groupBy("mmsi").agg(F.round(F.sum(haversine_km(F.col("_y"), F.col("_x"), F.col("lat"), F.col("lon"))), 6).alias("km"))
+
+
+ORDERS = "o AS (SELECT o_orderkey AS incident_id, o_custkey AS mmsi, o_orderdate AS flagged_at, o_orderpriority AS kind, o_orderstatus AS status, o_totalprice AS score FROM orders)"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as incidents."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("incident_id"), F.col("o_custkey").alias("mmsi"), F.col("o_orderdate").alias("flagged_at"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"))
+
+
+@query(f"WITH {ORDERS} SELECT a.incident_id, b.incident_id AS other_id, row_number() OVER w AS place FROM o a JOIN o b ON a.kind = b.kind AND a.mmsi <> b.mmsi WHERE a.status = 'P' WINDOW w AS (PARTITION BY a.incident_id ORDER BY b.flagged_at DESC, b.incident_id DESC) QUALIFY row_number() OVER w <= 10")
+def same_pattern_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _orders(spark, sf_dir)
+    asked = o.where("status = 'P'").select("incident_id")
+    return evidence.same_kind_elsewhere(o, "kind").join(asked, "incident_id", "left_semi")
+
+
+@query(f"WITH {ORDERS} SELECT incident_id, string_agg(incident_id::VARCHAR, ',') OVER (PARTITION BY mmsi ORDER BY flagged_at, incident_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS earlier FROM o")
+def own_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each incident's ten last before it on the same vessel."""
+    own = Window.partitionBy("mmsi").orderBy("flagged_at", "incident_id").rowsBetween(-10, -1)
+    return _orders(spark, sf_dir).select("incident_id", F.nullif(F.array_join(F.collect_list(F.col("incident_id").cast("string")).over(own), ","), F.lit("")).alias("earlier"))
+
+
+@query(f"WITH {INCIDENTS}, m AS (SELECT incident_id, event_id, row_number() OVER (PARTITION BY incident_id ORDER BY received_at DESC, event_id DESC) AS place FROM inc JOIN pos ON pos.mmsi = inc.mmsi AND pos.t BETWEEN inc.t - 7 * 86400 AND inc.t) SELECT * FROM m WHERE place <= 20")
+def reports_before_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.last_before(_incidents(spark, sf_dir), positions(spark, sf_dir), 20, 7 * 24).select("incident_id", "event_id", "place")
+
+
+@query(f"WITH {ORDERS} SELECT count(*) FILTER (WHERE status = 'O' AND kind = '1-URGENT' AND flagged_at > TIMESTAMP '1998-01-01') AS waiting, count(*) FILTER (WHERE status <> 'O') AS judged, max(flagged_at) AS newest, epoch_us(TIMESTAMP '1999-01-01')::BIGINT // 1000000 - epoch_us(max(flagged_at))::BIGINT // 1000000 AS age_s FROM o")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waiting of the first tier since a time, judged, and the age of the newest, as of a given time."""
+    waits = F.expr("status = 'O' and kind = '1-URGENT' and flagged_at > timestamp_ntz'1998-01-01 00:00:00'")
+    age = F.unix_timestamp(F.lit("1999-01-01 00:00:00")) - F.unix_seconds(F.max(F.col("flagged_at").cast("timestamp")))
+    return _orders(spark, sf_dir).agg(F.count_if(waits).alias("waiting"), F.count_if(F.col("status") != "O").alias("judged"), F.max("flagged_at").alias("newest"), age.alias("age_s"))
+
+
+@query(f"WITH {ORDERS} SELECT kind, count(*) AS n, count(*) FILTER (WHERE status = 'F') AS confirmed, count(DISTINCT status) AS verdicts, string_agg(DISTINCT status, '+' ORDER BY status) AS named FROM o GROUP BY kind")
+def verdicts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "F").alias("confirmed"), F.count_distinct("status").alias("verdicts"), F.array_join(F.array_sort(F.collect_set("status")), "+").alias("named"))
+
+
+@query(f"WITH {POS} SELECT count(*) AS n, count(DISTINCT mmsi) AS vessels FROM pos WHERE lat BETWEEN 51.02 AND 51.08 AND lon BETWEEN 4.01 AND 4.05 AND received_at >= TIMESTAMP '2024-01-10' AND received_at < TIMESTAMP '2024-01-20'")
+def inside_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a half-open time range inside a closed box."""
+    box = F.col("lat").between(51.02, 51.08) & F.col("lon").between(4.01, 4.05)
+    return positions(spark, sf_dir).where(box & F.expr("received_at >= timestamp_ntz'2024-01-10 00:00:00' and received_at < timestamp_ntz'2024-01-20 00:00:00'")).agg(F.count("*").alias("n"), F.count_distinct("mmsi").alias("vessels"))
+
+
+@query("SELECT event_id FROM events WHERE ('0x' || substr(sha256('7|keep|' || user_id || '|' || event_id), 1, 16))::UBIGINT % 1000 < 100")
+def kept_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of seed, vessel and report keeps one in ten."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    said = F.concat_ws("|", F.lit("7"), F.lit("keep"), F.col("user_id").cast("string"), F.col("event_id").cast("string"))
+    return e.where(F.conv(F.substring(F.sha2(said, 256), 1, 16), 16, 10).cast("decimal(20,0)") % 1000 < 100).select("event_id")
+
+
+@query(f"WITH {INCIDENTS} SELECT a.incident_id FROM inc a WHERE NOT EXISTS (SELECT 1 FROM inc b WHERE b.mmsi = a.mmsi AND b.t < a.t AND b.t >= a.t - 172800)")
+def not_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents whose vessel had no other in the two days before."""
+    before = F.lag(seconds("flagged_at")).over(Window.partitionBy("mmsi").orderBy("flagged_at", "incident_id"))
+    return _incidents(spark, sf_dir).withColumn("_before", before).where(F.col("_before").isNull() | (seconds("flagged_at") - F.col("_before") > 172800)).select("incident_id")
+
+
+@query("SELECT s.split, l.label, count(d.doc_id) AS n FROM (VALUES ('train'), ('holdout')) s(split) CROSS JOIN (VALUES (0), (1), (2)) l(label) LEFT JOIN (SELECT doc_id, quality, CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'train' END AS split FROM labels) d ON d.split = s.split AND d.quality = l.label GROUP BY ALL")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every label in every split, empty ones included."""
+    grid = spark.sql("SELECT split, label FROM VALUES ('train', 0), ('train', 1), ('train', 2), ('holdout', 0), ('holdout', 1), ('holdout', 2) AS g(split, label)")
+    n = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.when(F.col("doc_id") % 5 == 0, "holdout").otherwise("train").alias("split"), F.col("quality").alias("label")).agg(F.count("*").alias("n"))
+    return grid.join(n, ["split", "label"], "left").select("split", "label", F.coalesce("n", F.lit(0)).alias("n"))
