@@ -20,10 +20,8 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,7 +55,6 @@ class IdBytes:
     def __init__(self, tokenizer_path: str, end_id: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(tokenizer_path, encoding="utf-8") as f:
             file = json.load(f)
@@ -65,27 +62,27 @@ class IdBytes:
         byte_of = {c: b for b, c in enumerate(byte_characters())}
         ranks = {bytes(byte_of[c] for c in token): n for token, n in file["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.own = Tokenizer.from_file(tokenizer_path)
+        self.path, self.own = tokenizer_path, None
         self.end = np.array([end_id], "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        ids = self.own.encode(text, add_special_tokens=False).ids if self.odd.search(text) else self.fast.encode_ordinary(text)
+        ids = self.whole(text) if self.odd.search(text) else self.fast.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes() + self.end
 
+    def whole(self, text: str) -> list[int]:
+        from tokenizers import Tokenizer
 
-@lru_cache(1)
-def kept_ids(tokenizer_path: str, end_id: int) -> IdBytes:
-    """A worker's own, for all its tasks."""
-    return IdBytes(tokenizer_path, end_id)
+        self.own = self.own or Tokenizer.from_file(self.path)
+        return self.own.encode(text, add_special_tokens=False).ids
 
 
 def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = kept_ids(tokenizer_path, end_id)
+        ids_of = IdBytes(tokenizer_path, end_id)  # the task's own: workers live on, and its tables with them if they were kept
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -173,10 +170,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     most = np.int64(1 << 46)
     keys = table[:, 0] * most + table[:, 1]
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, r = length.to_numpy(), rank.to_numpy()
-        i = np.searchsorted(keys, n * most + r, "right") - 1
-        return pd.DataFrame({"sequence_id": table[i, 2] + r - table[i, 1], "offset": table[i, 3]})
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, r = (b.column(k).to_numpy() for k in ("length", "_rank"))
+            i = np.searchsorted(keys, n * most + r, "right") - 1
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(table[i, 2] + r - table[i, 1]), pa.array(table[i, 3])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.withColumn("_at", place("length", "_rank")).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
