@@ -354,8 +354,11 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and text_hash of every row."""
+def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept and text_hash of every row.
+
+    kept holds the remaining bytes, or, ``as_text``, the characters that are still whole in them.
+    """
     docs = keyed(docs)
     spans, twins = repeat_spans(docs, length)
     ordered = Window.partitionBy(*KEYS).orderBy("start", "stop")
@@ -371,9 +374,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             for d, k, raw, spans, twin in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), as_bytes(b.column("text")), b.column("spans").to_pylist(), b.column("twin").to_pylist(), strict=True):
                 pairs = [(0, len(raw))] if twin and len(raw) >= length else [(x["start"], x["stop"]) for x in spans or ()]
                 kept, removed, runs = _cut(raw, pairs)
-                out.append((d, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept, k))
+                out.append((d, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept, k))
             cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.string() if as_text else pa.binary(), pa.int64()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_hash"])
 
     held = bounded_join(docs, checkpoint(marked), KEYS, "left", size=F.coalesce(F.size("spans"), F.lit(0)) * 40)
-    return held.select(*KEYS, "text", "spans", "twin").mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text_hash long")
+    return held.select(*KEYS, "text", "spans", "twin").mapInArrow(tidy(cut), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}, text_hash long")
