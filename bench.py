@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from wakeline.plans.queries import QUERIES
+from wakeline.plans import QUERIES
 
 HEADLINE = ["freeze_by_vessel", "window_features", "flagged_windows", "vote_rates", "error_percentiles", "score_histogram", "incident_track", "incident_neighbours", "incident_hypothesis", "latest_in_bucket", "review_precision", "tier_verdicts"]
 

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wakeline.plans.queries import QUERIES, SQL
+from wakeline.plans import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
 

@@ -1,6 +1,6 @@
 """Joins of incidents with tracks, neighbours, zones and history. Every join has an equality to shuffle on."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import haversine_km
@@ -76,3 +76,31 @@ def same_kind_elsewhere(incidents: DataFrame, kind: str, most: int = 10) -> Data
     held = top.select(kind, F.col("mmsi").alias("_mmsi"), F.col("incident_id").alias("other_id"), F.col("flagged_at").alias("_at"))
     met = incidents.select("incident_id", "mmsi", kind).join(held, kind).where("mmsi <> _mmsi")
     return met.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("_at"), F.desc("other_id")))).where(F.col("place") <= most).select("incident_id", "other_id", "place")
+
+
+def in_polygons(points: DataFrame, zones: DataFrame, cell: float = 0.05) -> DataFrame:
+    """points with the least zone_id whose polygons hold them at that time; null without one.
+
+    Zones lie in the cells of their box; a point inside an odd number of rings of a polygon (crossings counted
+    eastward) is in it, so that holes are left out.
+    """
+    at = zones.withColumn("_ps", F.flatten(F.flatten("polygons")))
+    least = lambda i: F.array_min(F.transform("_ps", lambda p: F.get(p, F.lit(i))))
+    most = lambda i: F.array_max(F.transform("_ps", lambda p: F.get(p, F.lit(i))))
+    laid = at.select("zone_id", "polygons", F.col("first_seen").alias("_first"), F.col("last_seen").alias("_last"), F.explode(F.sequence(F.floor(least(1) / cell), F.floor(most(1) / cell))).alias("_y"), F.sequence(F.floor(least(0) / cell), F.floor(most(0) / cell)).alias("_xs"))
+    laid = laid.withColumn("_x", F.explode("_xs")).drop("_xs")
+    placed = points.withColumns({"_y": F.floor(F.col("lat") / cell), "_x": F.floor(F.col("lon") / cell)})
+    x, y = F.col("lon"), F.col("lat")
+
+    def crossings(ring: Column) -> Column:
+        def crossed(i: Column) -> Column:
+            a, b = F.get(ring, i), F.get(ring, i + 1)
+            ax, ay, bx, by = F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(b, F.lit(0)), F.get(b, F.lit(1))
+            return ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+
+        return F.size(F.filter(F.sequence(F.lit(0), F.size(ring) - 2), crossed))
+
+    holds = F.exists("polygons", lambda p: F.aggregate(p, F.lit(0), lambda n, r: n + crossings(r)) % 2 == 1)
+    inside = placed.join(laid, ["_y", "_x"]).where(holds & F.expr("(_first is null or flagged_at >= _first) and (_last is null or flagged_at <= _last)"))
+    return points.join(inside.groupBy("incident_id").agg(F.min("zone_id").alias("zone_id")), "incident_id", "left")
+

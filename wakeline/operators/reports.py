@@ -53,3 +53,19 @@ def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     ratio = lambda x, y: F.when(y != 0, x / y).otherwise(0.0)
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     return n.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + tn, tp + fp + fn + tn)})
+
+
+def log_histogram_by(df: DataFrame, score: Column, key: Column) -> DataFrame:
+    """log_histogram for each value of a key (null is one of them)."""
+    x = df.select(key, score.cast("double").alias("x")).where("x is not null and not isnan(x) and abs(x) < double('Infinity')")
+    raw = F.floor((F.log10(F.greatest("x", F.lit(LOW))) - F.log10(F.lit(LOW))) * PER)
+    return x.groupBy(x.columns[0], F.least(F.greatest(raw, F.lit(0)), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def classifier_report(df: DataFrame, sure: float) -> DataFrame:
+    """gold, n, accuracy, brier, soft_accuracy, coverage and sure_accuracy from gold (place of the right class) and p (probabilities)."""
+    top, right = F.array_max("p"), F.col("gold").cast("int")
+    hit = (F.array_position("p", top) - 1 == F.col("gold")).cast("int")
+    squared = F.aggregate(F.transform("p", lambda v, k: F.pow(v - (k == right).cast("int"), 2)), F.lit(0.0), lambda s, v: s + v)
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return df.groupBy("gold").agg(F.count("*").alias("n"), mean(hit, "accuracy"), mean(squared, "brier"), mean(F.get("p", right), "soft_accuracy"), mean((top >= sure).cast("int"), "coverage"), mean(F.when(top >= sure, hit), "sure_accuracy"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.settings import A_RANGE, B_OVER_A
+
 
 def hypothesis(df: DataFrame, a: float | None) -> DataFrame:
     """Adds hypothesis, confidence and status from zone_id, score, votes, n_freeze, stationary and n_prior."""
@@ -44,3 +46,54 @@ def strength(score: Column, a: float | None, b: float | None) -> Column:
     if a is None or b is None:
         return F.lit(0.5)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - a) / (b - a)))
+
+
+# Fixed values of threshold decisions.
+LEAST_REPORTS, MOST_STEP, LEAST_MOVE = 50_000, 3.0, 0.25
+
+
+def check_pair(a: float, b: float) -> None:
+    if not A_RANGE[0] <= a <= A_RANGE[1] or b < B_OVER_A * a:
+        raise ValueError(f"A must lie in {A_RANGE} and B be at least {B_OVER_A} x A")
+
+
+def threshold_decision(df: DataFrame) -> DataFrame:
+    """Adds `decision` (update, keep, or the rule a proposal breaks) from a, b, reports, offline (array), now_a, now_b and new_model."""
+    a, b, now_a, now_b = map(F.col, ("a", "b", "now_a", "now_b"))
+    bound = a.between(*A_RANGE) & b.between(a * B_OVER_A, F.lit(A_RANGE[1] * 10))
+    offline = F.exists("offline", lambda v: (v != 0) & (F.abs(a - v) / v < 0.01))
+    same = now_a.isNotNull() & ~F.col("new_model")
+    step = a.between(now_a / MOST_STEP, now_a * MOST_STEP)
+    small = (F.abs(a - now_a) / now_a < LEAST_MOVE) & (F.abs(b - now_b) / now_b < LEAST_MOVE)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return df.withColumn("decision", F.when(no(bound), "out_of_range").when((F.col("reports") < LEAST_REPORTS) & no(offline), "too_few_reports").when(same & no(step), "step_too_wide").when(same & small, "keep").otherwise("update"))
+
+
+def scope(neighbours: Column, cluster: Column) -> Column:
+    return F.when(cluster >= 3, "area").when(neighbours >= 3, "isolated").otherwise("insufficient")
+
+
+#: Which labels of the classifier speak for a hypothesis (fixed values).
+SUPPORTS = {"freeze_replay": ["freeze_replay"], "targeted_spoof": ["teleport_jump", "gradual_drift", "impossible_kinematics"]}
+
+
+def pattern_vote(label: Column, sure: Column, hypothesis: Column) -> Column:
+    """agrees, contradicts or null, from a classifier that is sure enough."""
+    speaks = [F.when((hypothesis == h) & label.isin(names), "agrees") for h, names in SUPPORTS.items()]
+    return F.when(sure >= 0.7, F.when(label == "normal_track", "contradicts").otherwise(F.coalesce(*speaks)))
+
+
+def report_issues(text: Column, mmsi: Column, hypothesis: Column, confidence: Column, verdict: Column) -> Column:
+    """What a drafted text says against its incident, as an array of names; empty where it is clean."""
+    percent = F.regexp_extract(text, r"(\d{1,3}(?:\.\d+)?)\s*%", 1)
+    named = F.contains(text, hypothesis) | F.contains(text, F.replace(hypothesis, F.lit("_"), F.lit(" ")))
+    tests = {
+        "mmsi": ~F.contains(text, mmsi.cast("string")),
+        "hypothesis": ~named,
+        "status_open": text.rlike(r"\bOPEN\b"),
+        "status_closed": text.rlike(r"\bCLOSED\b"),
+        "confidence": (percent != "") & (F.abs(percent.try_cast("double") - confidence * 100) > 1),
+        "confirmed": text.rlike(r"(?i)confirmed\s+(?:gnss\s+|gps\s+|ais\s+)?spoof") & ~verdict.eqNullSafe("confirmed_spoof"),
+    }
+    found = F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
+    return F.when(F.coalesce(F.trim(text) == "", F.lit(True)), F.array(F.lit("empty"))).otherwise(found)

@@ -94,3 +94,12 @@ def runs(df: DataFrame, claim: Column) -> DataFrame:
     said = df.withColumn("_c", F.coalesce(claim, F.lit(False))).withColumn("_island", F.sum((~F.col("_c")).cast("int")).over(track()))
     lengths = said.groupBy("mmsi", "_island").agg(F.count_if("_c").alias("n"))
     return lengths.groupBy("mmsi").agg(F.max("n").alias("longest_run"))
+
+
+def revisited(df: DataFrame, *chunks: str) -> DataFrame:
+    """Adds `revisited`: the report stands where one before its last stood (5 decimals), having been elsewhere just before."""
+    at = df.withColumns({"_y": F.round("lat", 5), "_x": F.round("lon", 5)})
+    order = Window.partitionBy(*chunks).orderBy("received_at", "event_id")
+    numbered = at.withColumns({"_i": F.row_number().over(order), "_moved": ~(F.col("_y").eqNullSafe(F.lag("_y").over(order)) & F.col("_x").eqNullSafe(F.lag("_x").over(order)))})
+    first = F.min("_i").over(Window.partitionBy(*chunks, "_y", "_x"))
+    return numbered.withColumn("revisited", (first < F.col("_i") - 1) & F.col("_moved")).drop("_y", "_x", "_i", "_moved")

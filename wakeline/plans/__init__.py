@@ -1,0 +1,7 @@
+"""All registered queries."""
+
+from wakeline.plans import queries  # isort: skip  (the first registered query is the flagship)
+from wakeline.plans import decisions, records
+from wakeline.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "decisions", "queries", "records"]

@@ -5,8 +5,6 @@ Events stand for position reports, those of type `error` for incidents; places a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +14,10 @@ from wakeline.operators import evidence, reports, rules
 from wakeline.operators.clusters import clusters
 from wakeline.operators.detectors import flagged, votes
 from wakeline.operators.windows import chunk, course_off, fixed_windows, freeze_pair, freeze_score, last_reports, runs, scoreable, seconds, skip_reason, steps, track, valid_step, with_error
+from wakeline.plans.registry import query
 from wakeline.settings import UNDERWAY_KNOTS
 from wakeline.sources.tracks import live, positions
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 MAX_GAP, A, B = 6 * 3600, 0.02, 0.08
 
 POS = """pos AS (SELECT user_id AS mmsi, event_id, ts AS received_at, epoch_us(ts) / 1e6 AS t, value / 20 AS sog, event_type AS message_type,
@@ -44,16 +40,6 @@ GATE = f"place > 0 AND gap_s > 0 AND gap_s <= {MAX_GAP} AND abs(dlon) <= 180"
 INCIDENTS = f"{LIVE}, inc AS (SELECT event_id AS incident_id, mmsi, received_at AS flagged_at, t, lat, lon, sog AS score FROM live WHERE message_type = 'error')"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live(positions(spark, sf_dir))
 
