@@ -18,19 +18,26 @@ def track_history(incidents: DataFrame, positions: DataFrame, hours: int = 24) -
     return asked.join(held, ["mmsi", "_slot"]).where(F.col("_p").between(F.col("_t") - width, F.col("_t"))).drop("_slot", "_p", "_t")
 
 
-def neighbours(incidents: DataFrame, positions: DataFrame, km: float, minutes: int = 60) -> DataFrame:
-    """incident_id, other, km: other vessels' nearest report within the distance and the time band.
+def near_in_time(incidents: DataFrame, held: DataFrame, km: float, minutes: int) -> DataFrame:
+    """Each incident with the rows of ``held`` (other, lat, lon, _p in seconds) of other vessels within the distance and the time band, and `km`.
 
-    Reports stand in one cell of a grid of that width and time; an incident asks for the cells around it.
+    Rows stand in one cell of a grid of that width and time; an incident asks for the cells around it. What lies
+    outside the band of latitudes goes before distances are computed.
     """
     cell = km / 111.0
     around = F.sequence(F.lit(-1), F.lit(1))
     wide = F.greatest(F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians(F.abs(F.col("_lat")) + cell)), F.lit(0.01))), F.lit(1)).cast("int")
     asked = incidents.select("incident_id", F.col("mmsi").alias("_mmsi"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), seconds("flagged_at").alias("_t"))
     asked = asked.withColumn("_y", F.explode(F.transform(around, lambda i: F.floor(F.col("_lat") / cell) + i))).withColumn("_x", F.explode(F.transform(F.sequence(-wide, wide), lambda i: F.floor(F.col("_lon") / cell) + i))).withColumn("_b", F.explode(F.transform(around, lambda i: F.floor(F.col("_t") / (minutes * 60)) + i)))
-    held = positions.select(F.col("mmsi").alias("other"), "lat", "lon", seconds("received_at").alias("_p")).withColumns({"_y": F.floor(F.col("lat") / cell), "_x": F.floor(F.col("lon") / cell), "_b": F.floor(F.col("_p") / (minutes * 60))})
-    met = asked.join(held, ["_y", "_x", "_b"]).where("other <> _mmsi").where(F.abs(F.col("_p") - F.col("_t")) <= minutes * 60).withColumn("km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= km)
-    return met.groupBy("incident_id", "other").agg(F.min("km").alias("km"))
+    laid = held.withColumns({"_y": F.floor(F.col("lat") / cell), "_x": F.floor(F.col("lon") / cell), "_b": F.floor(F.col("_p") / (minutes * 60))})
+    banded = asked.join(laid, ["_y", "_x", "_b"]).where("other <> _mmsi").where((F.abs(F.col("_p") - F.col("_t")) <= minutes * 60) & (F.abs(F.col("lat") - F.col("_lat")) <= cell))
+    return banded.withColumn("km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= km)
+
+
+def neighbours(incidents: DataFrame, positions: DataFrame, km: float, minutes: int = 60) -> DataFrame:
+    """incident_id, other, km: other vessels' nearest report within the distance and the time band."""
+    held = positions.select(F.col("mmsi").alias("other"), "lat", "lon", seconds("received_at").alias("_p"))
+    return near_in_time(incidents, held, km, minutes).groupBy("incident_id", "other").agg(F.min("km").alias("km"))
 
 
 def in_rectangles(points: DataFrame, zones: DataFrame, cell: float = 0.05) -> DataFrame:

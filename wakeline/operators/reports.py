@@ -69,3 +69,23 @@ def classifier_report(df: DataFrame, sure: float) -> DataFrame:
     squared = F.aggregate(F.transform("p", lambda v, k: F.pow(v - (k == right).cast("int"), 2)), F.lit(0.0), lambda s, v: s + v)
     mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
     return df.groupBy("gold").agg(F.count("*").alias("n"), mean(hit, "accuracy"), mean(squared, "brier"), mean(F.get("p", right), "soft_accuracy"), mean((top >= sure).cast("int"), "coverage"), mean(F.when(top >= sure, hit), "sure_accuracy"))
+
+
+def percentiles(df: DataFrame, column: str, shares: list[float], per_decade: int = 1000) -> DataFrame:
+    """p, value: exact percentiles (linear between ranks) of a column that is never negative.
+
+    Counts of fine logarithmic bins tell which bins hold the wanted ranks; only these bins' values are ordered,
+    each bin by itself and equal values as one, so that no task holds the column.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    binned = x.withColumn("bin", F.floor(F.log10(F.greatest("x", F.lit(1e-15))) * per_decade))
+    bins = binned.groupBy("bin").agg(F.count("*").alias("n"))
+    upto = bins.withColumn("_end", F.sum("n").over(Window.orderBy("bin"))).withColumn("_all", F.sum("n").over(Window.partitionBy()))
+    at = F.explode(F.array(*map(F.lit, shares))).alias("p")
+    ranks = upto.select("bin", (F.col("_end") - F.col("n")).alias("_start"), "_end", "_all", at).withColumn("_r", (F.col("_all") - 1) * F.col("p"))
+    wanted = ranks.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("_r"), F.ceil("_r"))))).where("rank >= _start and rank < _end").select("bin", "_start", "p", "_r", "rank")
+    values = binned.join(F.broadcast(wanted.select("bin").distinct()), "bin").groupBy("bin", "x").agg(F.count("*").alias("n"))
+    placed = values.withColumn("_to", F.sum("n").over(Window.partitionBy("bin").orderBy("x")))
+    met = placed.join(F.broadcast(wanted), "bin").where("rank >= _start + _to - n and rank < _start + _to")
+    share = F.when(F.col("rank") == F.floor("_r"), 1 - (F.col("_r") - F.floor("_r"))).otherwise(F.col("_r") - F.floor("_r"))
+    return met.groupBy("p").agg(F.sum(F.col("x") * share).alias("value"))

@@ -6,12 +6,18 @@ from pyspark.sql import functions as F
 from wakeline.settings import A_RANGE, B_OVER_A
 
 
-def hypothesis(df: DataFrame, a: float | None) -> DataFrame:
-    """Adds hypothesis, confidence and status from zone_id, score, votes, n_freeze, stationary and n_prior."""
+def hypothesis(df: DataFrame, a: float | None, label: Column | None = None, sure: Column | None = None) -> DataFrame:
+    """Adds hypothesis, confidence and status from zone_id, score, votes, n_freeze, stationary and n_prior.
+
+    A classifier's ``label`` with its confidence ``sure`` can speak against a weak flag, lift the cap of a
+    single vote by agreeing, or set it by contradicting (a freeze read off the track is not contradicted).
+    """
+    label, sure = (F.lit(None).cast("string"), F.lit(None).cast("double")) if label is None or sure is None else (label, sure)
     only_error = F.col("votes") == "prediction_error"
     one = F.size(F.filter(F.split("votes", r"\+"), lambda v: v != "")) == 1
     other = (F.col("votes") != "") & ~only_error
-    weak = only_error & (F.col("score") <= 2 * (a or 0.0)) & F.col("stationary")
+    spoof = F.coalesce((sure >= 0.7) & (label != "normal_track"), F.lit(False))
+    weak = only_error & (F.col("score") <= 2 * (a or 0.0)) & F.col("stationary") & ~spoof
     cases: list[tuple[Column, str, float, bool]] = [
         (F.col("zone_id").isNotNull(), "jamming", 0.85, False),
         (F.lit(a is None), "unresolved", 0.0, False),
@@ -21,12 +27,16 @@ def hypothesis(df: DataFrame, a: float | None) -> DataFrame:
         (F.col("n_prior") == 0, "targeted_spoof", 0.72, True),
         (F.lit(True), "equipment_fault", 0.55, True),
     ]
-    name, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
+    name, told = F.lit(None).cast("string"), F.lit(None).cast("double")
     for test, what, how, capped in reversed(cases):
         test = F.coalesce(test, F.lit(False))
         name = F.when(test, what).otherwise(name)
-        sure = F.when(test, F.when(one, F.lit(min(how, 0.5))).otherwise(how) if capped else F.lit(how)).otherwise(sure)
-    return df.withColumns({"hypothesis": name, "confidence": sure}).withColumn("status", F.when(F.col("confidence") >= 0.7, "reported").otherwise("escalated"))
+        vote = pattern_vote(label, sure, F.lit(what))
+        held = one & ~vote.eqNullSafe("agrees")
+        if what != "freeze_replay":
+            held = held | vote.eqNullSafe("contradicts")
+        told = F.when(test, F.when(held, F.lit(min(how, 0.5))).otherwise(how) if capped else F.lit(how)).otherwise(told)
+    return df.withColumns({"hypothesis": name, "confidence": told}).withColumn("status", F.when(F.col("confidence") >= 0.7, "reported").otherwise("escalated"))
 
 
 def benign_weight(stationary: Column, ratio: Column, corroborated: Column, prior_benign: Column) -> Column:
@@ -69,6 +79,20 @@ def threshold_decision(df: DataFrame) -> DataFrame:
     return df.withColumn("decision", F.when(no(bound), "out_of_range").when((F.col("reports") < LEAST_REPORTS) & no(offline), "too_few_reports").when(same & no(step), "step_too_wide").when(same & small, "keep").otherwise("update"))
 
 
+def budget_proposal(df: DataFrame) -> DataFrame:
+    """Adds action, a and b: the scores at the budgeted shares, held in range and near the thresholds in use.
+
+    Reads score_a, score_b (null where a budget has no score), reports, now_a and new_model; what is kept has null a and b.
+    """
+    now = F.when(~F.col("new_model"), F.col("now_a"))
+    ratio = lambda b, a: F.greatest(b, a * B_OVER_A)
+    bound = F.least(F.greatest("score_a", F.lit(A_RANGE[0])), F.lit(A_RANGE[1]))
+    a = F.least(F.greatest(bound, now / MOST_STEP), now * MOST_STEP)
+    b = ratio(ratio(F.col("score_b"), bound), a)
+    update = F.coalesce((F.col("reports") >= LEAST_REPORTS) & F.col("score_a").isNotNull() & F.col("score_b").isNotNull(), F.lit(False))
+    return df.select("*", F.when(update, "update").otherwise("keep").alias("action"), F.when(update, a).alias("a"), F.when(update, b).alias("b"))
+
+
 def scope(neighbours: Column, cluster: Column) -> Column:
     return F.when(cluster >= 3, "area").when(neighbours >= 3, "isolated").otherwise("insufficient")
 

@@ -107,9 +107,8 @@ def vote_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ERRORS} SELECT p, round(v, 6) AS error FROM (SELECT unnest([0.5, 0.9, 0.95, 0.99, 0.999])::DOUBLE AS p, unnest(quantile_cont(error, [0.5, 0.9, 0.95, 0.99, 0.999])) AS v FROM er WHERE {GATE})")
 def error_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = [0.5, 0.9, 0.95, 0.99, 0.999]
-    found = with_error(_steps(spark, sf_dir)).where(scoreable(MAX_GAP)).agg(F.percentile("error", F.array(*map(F.lit, shares))).alias("v"))
-    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("p"), F.col("v"))).alias("x")).select(F.col("x.p").alias("p"), F.round("x.v", 6).alias("error"))
+    found = reports.percentiles(with_error(_steps(spark, sf_dir)).where(scoreable(MAX_GAP)), "error", [0.5, 0.9, 0.95, 0.99, 0.999])
+    return found.select("p", F.round("value", 6).alias("error"))
 
 
 HIST = "hist AS (SELECT least(greatest(floor((log10(greatest(x, 1e-5)) - log10(1e-5)) * 20), 0), 119)::INT AS bin, count(*) AS n FROM (SELECT value / 100 AS x FROM events) GROUP BY 1)"
