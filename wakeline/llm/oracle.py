@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from wakeline.llm.centroids import CLUSTERS, SEED, WIDTH
+from wakeline.llm.centroids import ROUNDS as TURNS
+from wakeline.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT
+from wakeline.llm.resampling import SEED as DRAW
 from wakeline.llm.sharding import ROUNDS
 from wakeline.llm.url_graph import DAMPING, MOST_ROUNDS, RULES, THRESHOLD
 
@@ -28,10 +32,15 @@ def _mix(x: str) -> str:
     return f"(SELECT xor(z, z >> 31) FROM (SELECT {second} AS z FROM (SELECT {first} AS y FROM (SELECT ({x})::UBIGINT AS x))))"
 
 
+# The table of the checksum's steps, and a checksum by it.
+CRC_TABLE = "t AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b))"
+CRC = "xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
 def op5(shards: int = 8, seed: int = 7) -> str:
-    return f"""WITH RECURSIVE t AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)),
+    return f"""WITH RECURSIVE {CRC_TABLE},
 h AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, [('0x' || x)::BIGINT for x in regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes FROM documents),
-c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM h, t),
+c AS (SELECT doc_id, size, {CRC.format(bytes="bytes")} AS text_crc32 FROM h, t),
 d AS (SELECT *, row_number() OVER (ORDER BY doc_id, text_crc32, size) - 1 AS row_no FROM c),
 g AS (SELECT n, half, ((1::UBIGINT << half) - 1)::UBIGINT AS mask FROM (SELECT n, greatest(1, (ceil(log2(greatest(n, 2)))::INT + 1) // 2)::UBIGINT AS half FROM (SELECT count(*)::UBIGINT AS n FROM d))),
 k AS (SELECT i AS k, {_mix(f"i + 1 + {seed * ROUNDS}")} AS key FROM range({ROUNDS}) r(i)),
@@ -85,4 +94,42 @@ c AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p
 m AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM h) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)"""
 
-SQL = {"op4_ngram_jaccard_join": OP4, "op5_feistel_sharding": op5(), "op7_url_graph": op7(), "op9_suffix_array_dedup": OP9, "op10_decontamination": OP10}
+VECTORS = """{name} AS (SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""
+
+OP11 = f"""WITH {VECTORS.format(name="r")},
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)]), 0)::BIGINT AS score FROM r q JOIN r c ON len(q.v) = len(c.v) AND q.rid <> c.rid WHERE q.vec_id % 100 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 10"""
+
+
+def op12() -> str:
+    words = rf"regexp_extract_all({TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    u = f"(('0x' || substr(sha256('{DRAW}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE"
+    return f"""WITH {CRC_TABLE}, d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents), b AS (SELECT {words} AS w FROM benchmark),
+x AS (SELECT rid, unnest(w) AS word FROM d), y AS (SELECT unnest(w) AS word FROM b),
+z AS (SELECT word, {CRC.format(bytes="[('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(word)), '..')]")} % {BUCKETS} AS bucket FROM (SELECT word FROM x UNION SELECT word FROM y), t),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM x JOIN z USING (word) GROUP BY bucket), g AS (SELECT bucket, count(*)::DOUBLE AS t FROM y JOIN z USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + {BUCKETS}) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM g) + {BUCKETS}))))::BIGINT AS gain FROM (SELECT DISTINCT bucket FROM z) LEFT JOIN s USING (bucket) LEFT JOIN g USING (bucket)),
+w AS (SELECT rid, sum(gain)::BIGINT AS weight FROM x JOIN z USING (word) JOIN gain USING (bucket) GROUP BY rid),
+a AS (SELECT rid, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln({u})))::BIGINT AS score FROM d LEFT JOIN w USING (rid)),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM a WHERE n_features >= {LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {PERCENT} * n // 100 THEN rank END AS rank FROM a LEFT JOIN r USING (rid)"""
+
+
+def op13() -> str:
+    """Every round written out: each vector's nearest centroid, then the floors of the means."""
+    out = f"""WITH {VECTORS.format(name="every")}, r AS MATERIALIZED (SELECT rid, vec_id, v FROM every WHERE len(v) = {WIDTH}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (SELECT sha256('{SEED}:' || vec_id) AS h, v FROM r ORDER BY h, v LIMIT {CLUSTERS}))"""
+    for i in range(TURNS + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT rid, cluster, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, c)])::BIGINT AS d FROM r CROSS JOIN c{i}) GROUP BY rid)"""
+        if i < TURNS:
+            out += f""",
+m{i} AS (SELECT cluster, list(m ORDER BY k) AS m FROM (SELECT cluster, k, sum(x)::BIGINT // count(*) - (sum(x)::BIGINT % count(*) < 0)::BIGINT AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range({WIDTH})) AS k FROM r JOIN a{i} USING (rid)) GROUP BY cluster, k) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))"""
+    return f"""{out}
+SELECT vec_id, cluster::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM r JOIN a{TURNS} USING (rid) JOIN c{TURNS} USING (cluster)"""
+
+
+SQL = {"op4_ngram_jaccard_join": OP4, "op5_feistel_sharding": op5(), "op7_url_graph": op7(), "op9_suffix_array_dedup": OP9, "op10_decontamination": OP10, "op11_uniform_threshold_top_k": OP11, "op12_importance_resampling": op12(), "op13_hamerly_clustering": op13()}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wakeline.llm.centroids import cluster
 from wakeline.llm.common import documents, held_out
 from wakeline.llm.decontaminate import contamination
 from wakeline.llm.fingerprints import fingerprints
@@ -16,7 +18,9 @@ from wakeline.llm.language_id import identify
 from wakeline.llm.oracle import SQL
 from wakeline.llm.packing import pack
 from wakeline.llm.repeats import remove_repeats
+from wakeline.llm.resampling import resample
 from wakeline.llm.sharding import feistel_shards
+from wakeline.llm.topk import exact_top_k
 from wakeline.llm.url_graph import judge
 
 CAPACITY = 2048
@@ -65,8 +69,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
 
 
+def op11_uniform_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_hamerly_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op4_ngram_jaccard_join, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op8_katz_backoff, op9_suffix_array_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_best_fit_packing, op3_html_extraction, op4_ngram_jaccard_join, op5_feistel_sharding, op6_fingerprints, op7_url_graph, op8_katz_backoff, op9_suffix_array_dedup, op10_decontamination, op11_uniform_threshold_top_k, op12_importance_resampling, op13_hamerly_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
