@@ -39,7 +39,7 @@ def integer_vectors(rows: DataFrame, sound: Column | None = None) -> DataFrame:
     e = F.col("embedding")
     fits = F.forall(e, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < LARGEST / SCALE), F.lit(False)))
     good = F.col("vec_id").isNotNull() & e.isNotNull() & fits
-    return rows.where(good if sound is None else good & sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("int")).alias("v"))
+    return rows.where(good if sound is None else good & sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).try_cast("int")).alias("v"))
 
 
 def _runs(width: int, lists: int) -> list[slice]:
