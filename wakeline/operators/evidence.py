@@ -4,7 +4,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import haversine_km
+from wakeline.operators.cover import CELL, placed, polygon_cover, rectangle_cover
 from wakeline.operators.windows import seconds
+from wakeline.sources.tables import written
+
+#: Rows of a cell and time band beyond which near_in_time() divides it.
+HOT_CELL = 5000
 
 
 def track_history(incidents: DataFrame, positions: DataFrame, hours: int = 24) -> DataFrame:
@@ -18,35 +23,49 @@ def track_history(incidents: DataFrame, positions: DataFrame, hours: int = 24) -
     return asked.join(held, ["mmsi", "_slot"]).where(F.col("_p").between(F.col("_t") - width, F.col("_t"))).drop("_slot", "_p", "_t")
 
 
-def near_in_time(incidents: DataFrame, held: DataFrame, km: float, minutes: int) -> DataFrame:
+def near_in_time(incidents: DataFrame, held: DataFrame, km: float, minutes: int, load: int = HOT_CELL) -> DataFrame:
     """Each incident with the rows of ``held`` (other, lat, lon, _p in seconds) of other vessels within the distance and the time band, and `km`.
 
-    Rows stand in one cell of a grid of that width and time; an incident asks for the cells around it. What lies
-    outside the band of latitudes goes before distances are computed.
+    Rows stand in one cell of a grid of that width and time; an incident asks for the cells around it. A cell with more
+    than ``load`` rows is divided, so that no task holds a port: each of its parts is a key of its own, and an
+    incident asks only for those that it reaches. What lies outside the band of latitudes goes before distances are computed.
     """
     cell = km / 111.0
     around = F.sequence(F.lit(-1), F.lit(1))
     wide = F.greatest(F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians(F.abs(F.col("_lat")) + cell)), F.lit(0.01))), F.lit(1)).cast("int")
     asked = incidents.select("incident_id", F.col("mmsi").alias("_mmsi"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), seconds("flagged_at").alias("_t"))
-    asked = asked.withColumn("_y", F.explode(F.transform(around, lambda i: F.floor(F.col("_lat") / cell) + i))).withColumn("_x", F.explode(F.transform(F.sequence(-wide, wide), lambda i: F.floor(F.col("_lon") / cell) + i))).withColumn("_b", F.explode(F.transform(around, lambda i: F.floor(F.col("_t") / (minutes * 60)) + i)))
+    asked = asked.withColumn("_w", wide).withColumn("_y", F.explode(F.transform(around, lambda i: F.floor(F.col("_lat") / cell) + i))).withColumn("_x", F.explode(F.transform(F.sequence(-F.col("_w"), F.col("_w")), lambda i: F.floor(F.col("_lon") / cell) + i))).withColumn("_b", F.explode(F.transform(around, lambda i: F.floor(F.col("_t") / (minutes * 60)) + i)))
     laid = held.withColumns({"_y": F.floor(F.col("lat") / cell), "_x": F.floor(F.col("lon") / cell), "_b": F.floor(F.col("_p") / (minutes * 60))})
-    banded = asked.join(laid, ["_y", "_x", "_b"]).where("other <> _mmsi").where((F.abs(F.col("_p") - F.col("_t")) <= minutes * 60) & (F.abs(F.col("lat") - F.col("_lat")) <= cell))
+    counts = laid.groupBy("_y", "_x", "_b").agg(F.count("*").alias("_n"))
+    most = max(load, (held.count() // 10_000) + 1)  # so that there are fewer than 10,000 such cells
+    hot = F.broadcast(counts.where(F.col("_n") > most).select("_y", "_x", "_b", F.least(F.ceil(F.sqrt(F.col("_n") / most)), F.lit(32)).cast("int").alias("_k")))
+    part = lambda v, at: F.least(F.greatest(F.floor((v / cell - F.col(at)) * F.col("_k")), F.lit(0)), F.col("_k") - 1).cast("int")
+    reach = F.col("_w") * cell
+    whole = lambda d: d.join(hot, ["_y", "_x", "_b"], "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    spread = whole(asked).withColumn("_sy", F.explode(F.sequence(part(F.col("_lat") - cell, "_y"), part(F.col("_lat") + cell, "_y")))).withColumn("_sx", F.explode(F.sequence(part(F.col("_lon") - reach, "_x"), part(F.col("_lon") + reach, "_x"))))
+    parted = whole(laid).withColumns({"_sy": part(F.col("lat"), "_y"), "_sx": part(F.col("lon"), "_x")})
+    banded = spread.drop("_k", "_w").join(parted.drop("_k"), ["_y", "_x", "_b", "_sy", "_sx"]).drop("_sy", "_sx").where("other <> _mmsi").where((F.abs(F.col("_p") - F.col("_t")) <= minutes * 60) & (F.abs(F.col("lat") - F.col("_lat")) <= cell))
     return banded.withColumn("km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= km)
 
 
-def neighbours(incidents: DataFrame, positions: DataFrame, km: float, minutes: int = 60) -> DataFrame:
-    """incident_id, other, km: other vessels' nearest report within the distance and the time band."""
-    held = positions.select(F.col("mmsi").alias("other"), "lat", "lon", seconds("received_at").alias("_p"))
-    return near_in_time(incidents, held, km, minutes).groupBy("incident_id", "other").agg(F.min("km").alias("km"))
+def neighbours(incidents: DataFrame, positions: DataFrame, km: float, minutes: int = 60, most: int = 60) -> DataFrame:
+    """incident_id, other, event_id, km: the newest report, within the distance and the time band, of each of the first ``most`` other vessels."""
+    held = positions.select(F.col("mmsi").alias("other"), "event_id", "lat", "lon", seconds("received_at").alias("_p"))
+    near = near_in_time(incidents, held, km, minutes)
+    newest = near.groupBy("incident_id", "other").agg(F.max_by(F.struct("event_id", "km"), F.struct(F.col("_p"), -F.col("event_id"))).alias("_r")).select("incident_id", "other", "_r.*")
+    return newest.withColumn("_n", F.row_number().over(Window.partitionBy("incident_id").orderBy("other"))).where(F.col("_n") <= most).drop("_n")
+
 
+def _least_zone(points: DataFrame, inside: DataFrame) -> DataFrame:
+    in_time = F.expr("(_first is null or flagged_at >= _first) and (_last is null or flagged_at <= _last)")
+    return points.join(inside.where(in_time).groupBy("incident_id").agg(F.min("zone_id").alias("zone_id")), "incident_id", "left")
 
-def in_rectangles(points: DataFrame, zones: DataFrame, cell: float = 0.05) -> DataFrame:
+
+def in_rectangles(points: DataFrame, zones: DataFrame) -> DataFrame:
     """points with the least zone_id whose inside (edges excluded) holds them at that time; null without one."""
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    laid = zones.withColumn("_y", F.explode(span("lat_min", "lat_max"))).withColumn("_x", F.explode(span("lon_min", "lon_max")))
-    placed = points.withColumns({"_y": F.floor(F.col("lat") / cell), "_x": F.floor(F.col("lon") / cell)})
-    inside = placed.join(laid, ["_y", "_x"]).where("lat > lat_min and lat < lat_max and lon > lon_min and lon < lon_max and (first_seen is null or flagged_at >= first_seen) and (last_seen is null or flagged_at <= last_seen)")
-    return points.join(inside.groupBy("incident_id").agg(F.min("zone_id").alias("zone_id")), "incident_id", "left")
+    cover = rectangle_cover(zones.withColumnsRenamed({"first_seen": "_first", "last_seen": "_last"}))
+    met = placed(points.select("incident_id", "lat", "lon", "flagged_at"), cover).join(cover, CELL)
+    return _least_zone(points, met.where("lat > lat_min and lat < lat_max and lon > lon_min and lon < lon_max"))
 
 
 def prior_incidents(incidents: DataFrame) -> DataFrame:
@@ -85,18 +104,15 @@ def same_kind_elsewhere(incidents: DataFrame, kind: str, most: int = 10) -> Data
     return met.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("_at"), F.desc("other_id")))).where(F.col("place") <= most).select("incident_id", "other_id", "place")
 
 
-def in_polygons(points: DataFrame, zones: DataFrame, cell: float = 0.05) -> DataFrame:
+def in_polygons(points: DataFrame, zones: DataFrame) -> DataFrame:
     """points with the least zone_id whose polygons hold them at that time; null without one.
 
-    Zones lie in the cells of their box; a point inside an odd number of rings of a polygon (crossings counted
-    eastward) is in it, so that holes are left out.
+    A point inside an odd number of rings of a polygon (crossings counted eastward) is in it, so that holes are left
+    out. Points in a cell inside a zone are in it without a test; for those in a border cell the zone's rings, which
+    no cell carries, are joined and tested.
     """
-    at = zones.withColumn("_ps", F.flatten(F.flatten("polygons")))
-    least = lambda i: F.array_min(F.transform("_ps", lambda p: F.get(p, F.lit(i))))
-    most = lambda i: F.array_max(F.transform("_ps", lambda p: F.get(p, F.lit(i))))
-    laid = at.select("zone_id", "polygons", F.col("first_seen").alias("_first"), F.col("last_seen").alias("_last"), F.explode(F.sequence(F.floor(least(1) / cell), F.floor(most(1) / cell))).alias("_y"), F.sequence(F.floor(least(0) / cell), F.floor(most(0) / cell)).alias("_xs"))
-    laid = laid.withColumn("_x", F.explode("_xs")).drop("_xs")
-    placed = points.withColumns({"_y": F.floor(F.col("lat") / cell), "_x": F.floor(F.col("lon") / cell)})
+    cover = written(polygon_cover(zones), "cover")
+    met = placed(points.select("incident_id", "lat", "lon", "flagged_at"), cover).join(cover, CELL).select("incident_id", "lat", "lon", "flagged_at", "zone_id", "inner")
     x, y = F.col("lon"), F.col("lat")
 
     def crossings(ring: Column) -> Column:
@@ -108,6 +124,7 @@ def in_polygons(points: DataFrame, zones: DataFrame, cell: float = 0.05) -> Data
         return F.size(F.filter(F.sequence(F.lit(0), F.size(ring) - 2), crossed))
 
     holds = F.exists("polygons", lambda p: F.aggregate(p, F.lit(0), lambda n, r: n + crossings(r)) % 2 == 1)
-    inside = placed.join(laid, ["_y", "_x"]).where(holds & F.expr("(_first is null or flagged_at >= _first) and (_last is null or flagged_at <= _last)"))
-    return points.join(inside.groupBy("incident_id").agg(F.min("zone_id").alias("zone_id")), "incident_id", "left")
-
+    tested = met.where("not inner").join(zones.select("zone_id", "polygons"), "zone_id").where(holds)
+    inside = met.where("inner").select("incident_id", "flagged_at", "zone_id").unionByName(tested.select("incident_id", "flagged_at", "zone_id"))
+    times = zones.select("zone_id", F.col("first_seen").alias("_first"), F.col("last_seen").alias("_last"))
+    return _least_zone(points, inside.join(times, "zone_id"))

@@ -1,11 +1,12 @@
 """Queries of decision rules, report checks, tracks of incidents and training rows."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.operators import evidence, reports, rules
+from wakeline.operators import console, reports, rules
 from wakeline.operators.windows import revisited
-from wakeline.plans.queries import INCIDENTS, LIVE, ORDERS, WINDOWS, _incidents, _live, _orders, _steps
+from wakeline.plans.queries import BIN, EDGES_SQL, INCIDENTS, LIVE, NEWEST, ORDERS, WINDOWS, _incidents, _live, _orders, _steps
+from wakeline.plans.queries import KM as INC_KM
 from wakeline.plans.registry import query
 from wakeline.settings import A_RANGE, B_OVER_A
 
@@ -22,7 +23,7 @@ def threshold_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.threshold_decision(p).select("incident_id", "decision")
 
 
-@query("SELECT event_type AS version, least(greatest(floor((log10(greatest(value / 100, 1e-5)) - log10(1e-5)) * 20), 0), 119)::INT AS bin, count(*) AS n FROM events GROUP BY ALL")
+@query(f"SELECT event_type AS version, {BIN.format(x='value / 100')} AS bin, count(*) AS n FROM events, (SELECT {EDGES_SQL} AS edges) GROUP BY ALL")
 def histogram_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A histogram for each version of a model; versions compare with nulls as equal in a grouping."""
     return reports.log_histogram_by(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("value") / 100, F.col("event_type").alias("version"))
@@ -31,7 +32,7 @@ def histogram_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT round(quantile_cont(value, 0.99), 6) AS threshold FROM events")
 def threshold_for_flag_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score that one in a hundred passes."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.round(F.percentile("value", F.lit(1 - 0.01)), 6).alias("threshold"))
+    return reports.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", [1 - 0.01]).select(F.round("value", 6).alias("threshold"))
 
 
 TEXT = "'MMSI ' || CASE WHEN incident_id % 7 = 0 THEN 'none' ELSE mmsi::VARCHAR END || ' shows ' || CASE WHEN incident_id % 5 = 0 THEN 'nothing' ELSE 'freeze replay' END || CASE WHEN incident_id % 3 = 0 THEN ' (OPEN)' ELSE '' END || ' at ' || (incident_id % 4 + 79) || ' %' || CASE WHEN incident_id % 11 = 0 THEN ', confirmed gps spoofing' ELSE '' END"
@@ -54,19 +55,27 @@ def classifier_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("incident_id", rules.pattern_vote(label, i % 10 / 10, claim).alias("vote"))
 
 
-NEAR = "near AS (SELECT incident_id, km, row_number() OVER (PARTITION BY incident_id ORDER BY km) AS r FROM (SELECT incident_id, live.mmsi AS other, min({km}) AS km FROM inc JOIN live ON live.mmsi <> inc.mmsi AND abs(live.t - inc.t) <= 3600 AND {km} <= 5 GROUP BY ALL))"
-KM = "2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(live.lat - inc.lat) / 2), 2) + cos(radians(inc.lat)) * cos(radians(live.lat)) * pow(sin(radians(live.lon - inc.lon) / 2), 2))))"
+AB = INC_KM.format(a="a.", b="b.")
+#: Each incident's nearby incidents (newest 20 of six hours) with itself, those of an hour, and the cluster of 2 km and three vessels that holds it.
+SCOPE = f"""{NEWEST.format(km=INC_KM.format(a='inc.', b='live.'))},
+around AS (SELECT a.incident_id AS bucket, b.mmsi, b.t, b.t - a.t AS off, b.lat, b.lon, b.incident_id AS oid FROM inc a JOIN inc b ON a.mmsi <> b.mmsi AND abs(a.t - b.t) <= 21600 AND {AB} <= 5 QUALIFY row_number() OVER (PARTITION BY a.incident_id ORDER BY b.flagged_at DESC, b.incident_id DESC) <= 20),
+pts AS (SELECT bucket, mmsi, t, lat, lon, oid FROM around WHERE abs(off) <= 3600 UNION ALL SELECT incident_id, mmsi, t, lat, lon, incident_id FROM inc),
+p AS (SELECT bucket, mmsi, arg_max(lat, (t, -oid)) AS lat, arg_max(lon, (t, -oid)) AS lon FROM pts GROUP BY ALL),
+close AS (SELECT a.bucket, a.mmsi AS a, b.mmsi AS b FROM p a JOIN p b ON a.bucket = b.bucket AND {AB} <= 2),
+core AS (SELECT bucket, a FROM close GROUP BY ALL HAVING count(*) >= 3), link AS (SELECT close.* FROM close JOIN core USING (bucket, a)),
+r AS (SELECT bucket, a, a AS l FROM core UNION SELECT r.bucket, link.b, r.l FROM r JOIN link ON link.bucket = r.bucket AND link.a = r.a JOIN core ON core.bucket = r.bucket AND core.a = link.b),
+own AS (SELECT bucket, a, min(l) AS cluster FROM r GROUP BY ALL),
+m AS (SELECT link.bucket, b AS mmsi, coalesce(min(cluster) FILTER (WHERE link.a = b), min(cluster)) AS cluster FROM link JOIN own USING (bucket, a) GROUP BY ALL),
+size AS (SELECT bucket, cluster, count(*) AS n FROM m GROUP BY ALL), cl AS (SELECT inc.incident_id, n FROM inc JOIN m ON m.bucket = incident_id AND m.mmsi = inc.mmsi JOIN size USING (bucket, cluster))"""
 
 
-@query(f"WITH {INCIDENTS}, {NEAR.format(km=KM)} SELECT incident_id, count(km) AS neighbours, round(sum(km) FILTER (WHERE r <= 5), 5) AS five_km, CASE WHEN incident_id % 5 >= 3 THEN 'area' WHEN count(km) >= 3 THEN 'isolated' ELSE 'insufficient' END AS scope FROM inc LEFT JOIN near USING (incident_id) GROUP BY incident_id")
+@query(
+    f"WITH RECURSIVE {INCIDENTS}, {SCOPE}, k AS (SELECT incident_id, count(*) AS neighbours, array_to_string(list_slice(list(printf('%.1f', round(km, 1)) ORDER BY km), 1, 5), ',') AS nearest FROM newest GROUP BY 1), i AS (SELECT bucket AS incident_id, count(*) AS incidents FROM around GROUP BY 1) "
+    "SELECT incident_id, coalesce(neighbours, 0) AS neighbours, nearest, coalesce(incidents, 0) AS incidents, coalesce(n, 1) AS cluster_vessels, CASE WHEN coalesce(n, 1) >= 3 THEN 'area' WHEN coalesce(neighbours, 0) >= 3 THEN 'isolated' ELSE 'insufficient' END AS scope FROM inc LEFT JOIN k USING (incident_id) LEFT JOIN i USING (incident_id) LEFT JOIN cl USING (incident_id)"
+)
 def incident_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours, the sum of the five nearest distances, and the scope, where the cluster's size stands for itself by id."""
-    inc = _incidents(spark, sf_dir)
-    near = evidence.neighbours(inc, _live(spark, sf_dir), 5)
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("incident_id").orderBy("km", "other")))
-    n = ranked.groupBy("incident_id").agg(F.count("*").alias("_n"), F.round(F.sum(F.when(F.col("_r") <= 5, F.col("km"))), 5).alias("five_km"))
-    found = inc.select("incident_id").join(n, "incident_id", "left").withColumn("neighbours", F.coalesce("_n", F.lit(0)))
-    return found.select("incident_id", "neighbours", "five_km", rules.scope(F.col("neighbours"), F.col("incident_id") % 5).alias("scope"))
+    """Neighbours and their five nearest km, nearby incidents, and the cluster that holds the flag among those of an hour."""
+    return console.scopes(_incidents(spark, sf_dir), _live(spark, sf_dir), km=5, cluster_km=2)
 
 
 @query(

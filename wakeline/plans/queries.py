@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wakeline.functions.cleaning import drop_reason, known_course, known_speed
 from wakeline.functions.geo import angle_between, haversine_km
 from wakeline.operators import evidence, reports, rules
-from wakeline.operators.clusters import clusters
+from wakeline.operators.clusters import cluster_containing, clusters
 from wakeline.operators.detectors import flagged, votes
 from wakeline.operators.windows import chunk, course_off, fixed_windows, freeze_pair, freeze_score, last_reports, runs, scoreable, seconds, skip_reason, steps, track, valid_step, with_error
 from wakeline.plans.registry import query
@@ -111,7 +111,9 @@ def error_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p", F.round("value", 6).alias("error"))
 
 
-HIST = "hist AS (SELECT least(greatest(floor((log10(greatest(x, 1e-5)) - log10(1e-5)) * 20), 0), 119)::INT AS bin, count(*) AS n FROM (SELECT value / 100 AS x FROM events) GROUP BY 1)"
+EDGES_SQL = f"[{', '.join(map(repr, reports.EDGES))}]::DOUBLE[]"
+BIN = "(least(greatest(len(list_filter(edges, lambda e: e <= {x})) - 1, 0), 119))::INT"
+HIST = f"hist AS (SELECT {BIN.format(x='x')} AS bin, count(*) AS n FROM (SELECT value / 100 AS x FROM events), (SELECT {EDGES_SQL} AS edges) GROUP BY 1), ed AS (SELECT {EDGES_SQL} AS edges)"
 
 
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +125,13 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _histogram(spark, sf_dir)
 
 
-@query(f"WITH {HIST} SELECT bin, round(1e-5 * pow(10, bin / 20), 6) AS lower_edge, round(sum(n) OVER (ORDER BY bin DESC) / sum(n) OVER (), 6) AS share FROM hist")
+@query(f"WITH {HIST} SELECT bin, round(edges[bin + 1], 6) AS lower_edge, round(sum(n) OVER (ORDER BY bin DESC) / sum(n) OVER (), 6) AS share FROM hist, ed")
 def histogram_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.shares_above(_histogram(spark, sf_dir)).select("bin", _6("lower_edge"), _6("share"))
 
 
-CROSSED = "(SELECT bin, n, sum(n) OVER (ORDER BY bin DESC) AS c, sum(n) OVER () AS total FROM hist)"
-THRESHOLD = "round(exp(ln(1e-5) + (bin + 1) * ln(10) / 20 - (s * total - (c - n)) / n * ln(10) / 20), 6) AS threshold"
+CROSSED = "(SELECT bin, n, ln(edges[bin + 1]) AS low, ln(edges[bin + 2]) AS high, sum(n) OVER (ORDER BY bin DESC) AS c, sum(n) OVER () AS total FROM hist, ed)"
+THRESHOLD = "round(exp(high - (s * total - (c - n)) / n * (high - low)), 6) AS threshold"
 
 
 @query(f"WITH {HIST} SELECT {THRESHOLD} FROM {CROSSED}, (SELECT 0.1::DOUBLE AS s) WHERE c > s * total QUALIFY row_number() OVER (ORDER BY bin DESC) = 1")
@@ -139,12 +141,10 @@ def histogram_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HIST} SELECT s AS share, {THRESHOLD} FROM {CROSSED}, (SELECT unnest([1e-1, 1e-2, 1e-3])::DOUBLE AS s) WHERE c > s * total QUALIFY row_number() OVER (PARTITION BY s ORDER BY bin DESC) = 1")
 def score_at_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = _histogram(spark, sf_dir)
-    found = [reports.threshold_for_share(hist, s).select(F.lit(s).alias("share"), _6("threshold")) for s in (1e-1, 1e-2, 1e-3)]
-    return found[0].union(found[1]).union(found[2])
+    return reports.score_at_shares(_histogram(spark, sf_dir), [1e-1, 1e-2, 1e-3]).select("share", _6("threshold"))
 
 
-@query(f"WITH {HIST}, e AS (SELECT n, 1e-5 * pow(10, bin / 20) AS low, 1e-5 * pow(10, (bin + 1) / 20) AS high FROM hist) SELECT round(sum(CASE WHEN low >= 0.7 THEN n WHEN high <= 0.7 THEN 0 ELSE n * (ln(high) - ln(0.7)) / (ln(high) - ln(low)) END) / sum(n), 6) AS share FROM e")
+@query(f"WITH {HIST}, e AS (SELECT n, edges[bin + 1] AS low, edges[bin + 2] AS high FROM hist, ed) SELECT round(sum(CASE WHEN low >= 0.7 THEN n WHEN high <= 0.7 THEN 0 ELSE n * (ln(high) - ln(0.7)) / (ln(high) - ln(low)) END) / sum(n), 6) AS share FROM e")
 def histogram_share_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.share_above(_histogram(spark, sf_dir), 0.7).select(_6("share"))
 
@@ -160,9 +160,13 @@ def incident_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.track_history(_incidents(spark, sf_dir), positions(spark, sf_dir)).select("incident_id", "event_id")
 
 
-@query(f"WITH {INCIDENTS} SELECT incident_id, live.mmsi AS other, round(min({KM.format(a='inc.', b='live.')}), 6) AS km FROM inc JOIN live ON live.mmsi <> inc.mmsi AND abs(live.t - inc.t) <= 3600 AND {KM.format(a='inc.', b='live.')} <= 5 GROUP BY ALL")
+NEWEST = "newest AS (SELECT incident_id, live.mmsi AS other, arg_max(event_id, (live.t, -event_id)) AS event_id, arg_max({km}, (live.t, -event_id)) AS km FROM inc JOIN live ON live.mmsi <> inc.mmsi AND abs(live.t - inc.t) <= 3600 AND {km} <= 5 GROUP BY incident_id, live.mmsi QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY live.mmsi) <= 60)"
+
+
+@query(f"WITH {INCIDENTS}, {NEWEST.format(km=KM.format(a='inc.', b='live.'))} SELECT incident_id, other, event_id, round(km, 6) AS km FROM newest")
 def incident_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.neighbours(_incidents(spark, sf_dir), _live(spark, sf_dir), 5).select("incident_id", "other", _6("km"))
+    """Of each other vessel near in space and time the newest report; the first 60 vessels."""
+    return evidence.neighbours(_incidents(spark, sf_dir), _live(spark, sf_dir), 5).select("incident_id", "other", "event_id", _6("km"))
 
 
 ZONES = "zone AS (SELECT * FROM (VALUES (1, 51.0::DOUBLE, 51.05::DOUBLE, 4.0::DOUBLE, 4.04::DOUBLE, NULL::TIMESTAMP, NULL::TIMESTAMP), (2, 51.02, 51.12, 4.02, 4.07, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-20')) AS z(zone_id, lat_min, lat_max, lon_min, lon_max, first_seen, last_seen))"
@@ -234,13 +238,30 @@ def latest_in_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.latest(_live(spark, sf_dir).withColumn("bucket", F.floor(seconds("received_at") / 1800)), "bucket", "mmsi").select("bucket", "mmsi", "event_id")
 
 
-@query()
+#: Latest reports of a day, pairs within 3 km, what core vessels reach, and whom the others join.
+CLUSTERED = f"""{LIVE}, p AS (SELECT floor(t / 86400)::BIGINT AS bucket, mmsi, arg_max(lat, (received_at, -event_id)) AS lat, arg_max(lon, (received_at, -event_id)) AS lon FROM live GROUP BY ALL),
+near AS (SELECT a.bucket, a.mmsi AS a, b.mmsi AS b FROM p a JOIN p b ON a.bucket = b.bucket AND {KM.format(a='a.', b='b.')} <= 3),
+core AS (SELECT bucket, a FROM near GROUP BY ALL HAVING count(*) >= 3), link AS (SELECT near.* FROM near JOIN core USING (bucket, a)), inner_ AS (SELECT link.* FROM link JOIN core ON core.bucket = link.bucket AND core.a = b),
+r AS (SELECT bucket, a, a AS l FROM core UNION SELECT r.bucket, inner_.b, r.l FROM r JOIN inner_ ON inner_.bucket = r.bucket AND inner_.a = r.a AND r.l < inner_.b),
+own AS (SELECT bucket, a, min(l) AS cluster FROM r GROUP BY ALL),
+m AS (SELECT link.bucket, b AS mmsi, coalesce(min(cluster) FILTER (WHERE link.a = b), min(cluster)) AS cluster FROM link JOIN own USING (bucket, a) GROUP BY ALL),
+c AS (SELECT bucket, cluster, count(*) AS vessels, avg(lat) AS centre_lat, avg(lon) AS centre_lon FROM m JOIN p USING (bucket, mmsi) GROUP BY ALL),
+s AS (SELECT bucket, cluster, vessels, round(centre_lat, 6) AS centre_lat, round(centre_lon, 6) AS centre_lon, round(max({KM.format(a='c.centre_', b='p.')}), 6) AS radius_km FROM c JOIN m USING (bucket, cluster) JOIN p USING (bucket, mmsi) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {CLUSTERED} SELECT * FROM s")
 def area_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    found = clusters(_live(spark, sf_dir), km=3, least=3, minutes=24 * 60)
+    return found.select("bucket", "cluster", "vessels", _6("centre_lat"), _6("centre_lon"), _6("radius_km"))
+
+
+ONE = CLUSTERED.replace("floor(t / 86400)::BIGINT AS bucket", "0 AS bucket").replace("<= 3)", "<= 1)")
+
 
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wakeline-"))
-    return clusters(_live(spark, sf_dir), km=3, least=3, minutes=24 * 60)
+@query(f"WITH RECURSIVE {ONE} SELECT s.cluster, vessels, radius_km FROM s JOIN (SELECT cluster FROM m WHERE mmsi = 11) USING (cluster)")
+def cluster_of_vessel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of all newest positions that holds a vessel."""
+    return cluster_containing(_live(spark, sf_dir), 11, km=1).select("cluster", "vessels", _6("radius_km"))
 
 
 @query("SELECT c_custkey AS mmsi, CASE WHEN ('0x' || substr(sha256(c_custkey::VARCHAR), 1, 8))::UBIGINT % 1000 >= 800 THEN 'validation' ELSE 'train' END AS split FROM customer")

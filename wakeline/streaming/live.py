@@ -19,23 +19,24 @@ def report_stream(spark: SparkSession, folder: str, schema: str, late: str = "30
 
 def paused_flags(flags: DataFrame, hours: float = 6) -> DataFrame:
     """Of a stream of flags (mmsi, flagged_at, score), those that come ``hours`` or more after the vessel's last kept one."""
-    pause = pd.Timedelta(hours=hours)
+    pause = int(hours * 3600 * 1e6)
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["flagged_at", "score"], ascending=[True, False])
-        kept = []
-        for r in rows.itertuples(index=False):
-            if last is None or r.flagged_at - last >= pause:
-                kept.append(r)
-                last = r.flagged_at
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["flagged_at", "score"], ascending=[True, False], ignore_index=True)
+        t = rows["flagged_at"].astype("datetime64[us]").astype("int64").to_numpy()
+        kept, at = [], 0 if last is None else int(np.searchsorted(t, last + pause))
+        while at < len(t):  # one step for each flag that is kept
+            kept.append(at)
+            last = int(t[at])
+            at = int(np.searchsorted(t, last + pause))
         if last is not None:
-            state.update((int(last.value // 1000) if last.unit == "ns" else int(last.as_unit("us").value),))
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + int(pause.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(kept, columns=["mmsi", "flagged_at", "score"])
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + pause) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[kept, ["mmsi", "flagged_at", "score"]]
 
     return flags.withWatermark("flagged_at", "1 hour").groupBy("mmsi").applyInPandasWithState(keep, FLAG, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -68,17 +69,3 @@ def recent_context(reports: DataFrame, most: int = 20, hours: float = 6, late: s
 
     shape = "mmsi long, received_at timestamp, n_context long, context_from timestamp, mean_sog double"
     return reports.select("mmsi", "received_at", "sog").withWatermark("received_at", late).groupBy("mmsi").applyInPandasWithState(follow, shape, "times array<long>, speeds array<double>, last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def cycle_sink(folder: str, most: int = 25):
-    """A foreachBatch function: the strongest ``most`` flags of a batch to be looked into, all others marked as put off.
-
-    Each batch has a folder of its own, written over when a batch is run again.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        ranked = batch.orderBy(F.desc("score"), "flagged_at", "mmsi").limit(most).withColumn("put_off", F.lit(False))
-        rest = batch.join(ranked.select("mmsi", "flagged_at", "score"), ["mmsi", "flagged_at", "score"], "left_anti").withColumn("put_off", F.lit(True))
-        ranked.unionByName(rest).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    return write
