@@ -8,6 +8,8 @@ reads it again, so that a lost executor costs a stage's tasks only.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,29 +32,43 @@ def named(docs: DataFrame) -> DataFrame:
 
     Rows that repeat doc_id and text are one document and share its fate; rows that repeat a doc_id alone are not.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(*(F.col(c).cast("long").alias(c) if c == "doc_id" else c for c in COLUMNS), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_ROWS for what runs inside; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that could be named, and names it where lang is null; null and letterless texts go."""
     own = named(docs)
-    found = checkpoint(identify(docs, F.lit(True)).where("lang_pred <> 'und'").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "lang_pred").dropDuplicates(KEYS))
+    with small_batches(spark):
+        found = checkpoint(identify(docs, F.lit(True)).where("lang_pred <> 'und'").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "lang_pred").dropDuplicates(KEYS))
     return bounded_join(own, found, KEYS).select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id (then text hash) of each group of linked documents; documents without words have no group and stay."""
     own = named(docs)
-    dropped = checkpoint(jaccard_components(docs).where("not is_first").select(*KEYS).distinct())
+    with small_batches(spark):
+        dropped = checkpoint(jaccard_components(docs).where("not is_first").select(*KEYS).distinct())
     return bounded_join(own, dropped, KEYS, "left_anti").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that occurred before; bytes that no longer make a character go with them; a document left empty stays as an empty text."""
     own = named(docs)
-    kept = remove_repeats(docs, PASSAGE_BYTES, as_text=True)
-    changed = checkpoint(kept.where("n_removed > 0").select(*KEYS, F.col("kept").alias("_text")).dropDuplicates(KEYS))
+    with small_batches(spark):
+        kept = remove_repeats(docs, PASSAGE_BYTES, as_text=True)
+        changed = checkpoint(kept.where("n_removed > 0").select(*KEYS, F.col("kept").alias("_text")).dropDuplicates(KEYS))
     text = F.coalesce("_text", "text")
     return bounded_join(own, changed, KEYS, "left", size=F.octet_length("_text")).select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).alias("n_chars"))
 
