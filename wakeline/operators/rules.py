@@ -93,6 +93,16 @@ def budget_proposal(df: DataFrame) -> DataFrame:
     return df.select("*", F.when(update, "update").otherwise("keep").alias("action"), F.when(update, a).alias("a"), F.when(update, b).alias("b"))
 
 
+def training_windows(coverage: DataFrame, now: Column) -> DataFrame:
+    """initial_ready, initial_end, rolling_ready and rolling_start of a coverage (first_at, last_at), as of ``now``.
+
+    The first window takes two weeks of reports, and the fifteenth day over; the rolling one is the last two weeks.
+    """
+    first, last, weeks = F.col("first_at"), F.col("last_at"), F.expr("interval 14 days")
+    ready = (last >= first + weeks) & (now >= first + F.expr("interval 15 days"))
+    return coverage.select(ready.alias("initial_ready"), (first + weeks).alias("initial_end"), (first <= last - weeks).alias("rolling_ready"), (last - weeks).alias("rolling_start"))
+
+
 def scope(neighbours: Column, cluster: Column) -> Column:
     return F.when(cluster >= 3, "area").when(neighbours >= 3, "isolated").otherwise("insufficient")
 
@@ -107,9 +117,14 @@ def pattern_vote(label: Column, sure: Column, hypothesis: Column) -> Column:
     return F.when(sure >= 0.7, F.when(label == "normal_track", "contradicts").otherwise(F.coalesce(*speaks)))
 
 
+# What counts as a share in percent, and as a claim that spoofing is confirmed (test_rules.py lists both).
+PERCENT = r"([0-9]{1,3}([.][0-9]+)?)[ \t\r\n\f]*%"
+CONFIRMED = r"(?i)confirmed[ \t\r\n\f]+((gps|ais|gnss)[ \t\r\n\f]+)?spoof"
+
+
 def report_issues(text: Column, mmsi: Column, hypothesis: Column, confidence: Column, verdict: Column) -> Column:
     """What a drafted text says against its incident, as an array of names; empty where it is clean."""
-    percent = F.regexp_extract(text, r"(\d{1,3}(?:\.\d+)?)\s*%", 1)
+    percent = F.regexp_extract(text, PERCENT, 1)
     named = F.contains(text, hypothesis) | F.contains(text, F.replace(hypothesis, F.lit("_"), F.lit(" ")))
     tests = {
         "mmsi": ~F.contains(text, mmsi.cast("string")),
@@ -117,7 +132,7 @@ def report_issues(text: Column, mmsi: Column, hypothesis: Column, confidence: Co
         "status_open": text.rlike(r"\bOPEN\b"),
         "status_closed": text.rlike(r"\bCLOSED\b"),
         "confidence": (percent != "") & (F.abs(percent.try_cast("double") - confidence * 100) > 1),
-        "confirmed": text.rlike(r"(?i)confirmed\s+(?:gnss\s+|gps\s+|ais\s+)?spoof") & ~verdict.eqNullSafe("confirmed_spoof"),
+        "confirmed": text.rlike(CONFIRMED) & ~verdict.eqNullSafe("confirmed_spoof"),
     }
     found = F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
     return F.when(F.coalesce(F.trim(text) == "", F.lit(True)), F.array(F.lit("empty"))).otherwise(found)

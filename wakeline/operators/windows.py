@@ -20,10 +20,24 @@ def seconds(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
 
+def numbered(df: DataFrame, *keys: str) -> DataFrame:
+    """Adds _n (place in the key's order of time, from 0) and _all (the key's count) without ordering a key's rows as a whole.
+
+    Counts of each key and day give where a day's numbers start; rows are then numbered inside their day only, so
+    that a vessel with very many reports is spread over its days.
+    """
+    day = F.coalesce(F.unix_date(F.to_date("received_at")), F.lit(-(2**31)))
+    dated = df.withColumn("_day", day)
+    counts = dated.groupBy(*keys, "_day").agg(F.count("*").alias("_c"))
+    own = Window.partitionBy(*keys)
+    starts = counts.select(*keys, "_day", (F.sum("_c").over(own.orderBy("_day")) - F.col("_c")).alias("_start"), F.sum("_c").over(own).alias("_all"))
+    within = Window.partitionBy(*keys, "_day").orderBy("received_at", "event_id")
+    return dated.join(starts, [*keys, "_day"]).withColumn("_n", F.row_number().over(within) - 1 + F.col("_start")).select(*df.columns, "_n", "_all")
+
+
 def fixed_windows(df: DataFrame, size: int = WINDOW) -> DataFrame:
     """Adds window_index and place: runs of ``size`` reports that don't overlap; what is left over goes."""
-    numbered = df.withColumn("_n", F.row_number().over(track()) - 1).withColumn("_all", F.count("*").over(Window.partitionBy("mmsi")))
-    cut = numbered.withColumn("window_index", F.floor(F.col("_n") / size)).withColumn("place", F.col("_n") % size)
+    cut = numbered(df, "mmsi").withColumn("window_index", F.floor(F.col("_n") / size)).withColumn("place", F.col("_n") % size)
     return cut.where(F.col("window_index") < F.floor(F.col("_all") / size)).drop("_n", "_all")
 
 

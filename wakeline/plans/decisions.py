@@ -4,11 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.operators import console, reports, rules
+from wakeline.operators.predictors import step_errors
 from wakeline.operators.windows import revisited
-from wakeline.plans.queries import BIN, EDGES_SQL, INCIDENTS, LIVE, NEWEST, ORDERS, WINDOWS, _incidents, _live, _orders, _steps
+from wakeline.plans.queries import BIN, EDGES_SQL, ERRORS, INCIDENTS, LIVE, NEWEST, ORDERS, WINDOWS, _incidents, _live, _orders, _steps
 from wakeline.plans.queries import KM as INC_KM
 from wakeline.plans.registry import query
-from wakeline.settings import A_RANGE, B_OVER_A
+from wakeline.settings import A_RANGE, B_OVER_A, OPERATING_THRESHOLD
 
 PROPOSED = "p AS (SELECT incident_id, score / 5e4 AS a, score / 5e4 * (1 + incident_id % 5 * 0.4) AS b, incident_id % 9 * 10000 AS reports, 1.0::DOUBLE AS now_a, 2.0::DOUBLE AS now_b, incident_id % 4 = 0 AS new_model, CASE WHEN incident_id % 6 = 0 THEN score / 5e4 * 1.005 ELSE 50.0 END AS seen FROM o)"
 
@@ -96,11 +97,36 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(spark, sf_dir).join(kinds, "mmsi", "left").select("event_id", F.round(or_none("sog"), 6).alias("sog"), or_none("cog").alias("cog"), or_none("heading").alias("heading"), F.lit(-1.0).alias("rate_of_turn"), or_none("ship_type").alias("vessel_class"), F.round("implied", 6).alias("implied"), F.isnull("heading").cast("int").alias("heading_missing"), F.lit(1).alias("rot_missing"))
 
 
-@query(f"WITH {LIVE}, c AS (SELECT min(received_at) AS first_at, max(received_at) AS last_at FROM live) SELECT last_at >= first_at + INTERVAL 14 DAY AS initial_ready, first_at + INTERVAL 14 DAY AS initial_end, first_at <= last_at - INTERVAL 14 DAY AS rolling_ready, last_at - INTERVAL 14 DAY AS rolling_start FROM c")
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("mmsi"), F.col("c_nationkey").alias("vessel_class"))
+    return _steps(spark, sf_dir).join(kinds, "mmsi", "left").withColumns({"rate_of_turn": F.lit(None).cast("double"), "heading_missing": F.isnull("heading").cast("int"), "rot_missing": F.lit(1)})
+
+
+@query(f"WITH {ERRORS} SELECT event_id, window_index, place, round(error, 6) AS error, error > {OPERATING_THRESHOLD} AS flagged FROM er")
+def predicted_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each report's distance from the step that the predictor expected: the one before, again."""
+    found = step_errors(_features(spark, sf_dir))
+    return found.select("event_id", "window_index", "place", F.round("error", 6).alias("error"), (F.col("error") > OPERATING_THRESHOLD).alias("flagged"))
+
+
+TOLD = "(sog / 0.539956803::DOUBLE * gap / 3600 / 111.195::DOUBLE)"
+
+
+@query(
+    f"WITH {WINDOWS}, n AS (SELECT *, lead(event_id) OVER w AS next_id, lead(t) OVER w - t AS gap, lead(lat) OVER w - lat AS up, lead(lon) OVER w - lon AS off FROM st WINDOW w AS (PARTITION BY mmsi, window_index ORDER BY received_at, event_id)) "
+    f"SELECT next_id AS event_id, round(coalesce(sqrt(pow({TOLD} * cos(radians(cog)) - up, 2) + pow({TOLD} * sin(radians(cog)) / cos(radians(lat)) - off, 2)), 0), 5) AS error FROM n WHERE next_id IS NOT NULL"
+)
+def steps_from_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with another predictor: where speed and course lead."""
+    return step_errors(_features(spark, sf_dir), "told_course").where("place > 0").select("event_id", F.round("error", 5).alias("error"))
+
+
+@query(f"WITH {LIVE}, c AS (SELECT min(received_at) AS first_at, max(received_at) AS last_at FROM live) SELECT hours, last_at >= first_at + INTERVAL 14 DAY AND hours >= 360 AS initial_ready, first_at + INTERVAL 14 DAY AS initial_end, first_at <= last_at - INTERVAL 14 DAY AS rolling_ready, last_at - INTERVAL 14 DAY AS rolling_start FROM c, (SELECT unnest([359, 360]) AS hours)")
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First complete two weeks and the last ones, as of the newest report plus a day."""
+    """First complete two weeks and the last ones, as of two times: on the second the fifteenth day is over."""
     c = _live(spark, sf_dir).agg(F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"))
-    return c.selectExpr("last_at >= first_at + interval 14 days and last_at + interval 1 day >= first_at + interval 15 days as initial_ready", "first_at + interval 14 days as initial_end", "first_at <= last_at - interval 14 days as rolling_ready", "last_at - interval 14 days as rolling_start")
+    early, late = (rules.training_windows(c, F.col("first_at") + F.expr(f"interval {h} hours")).withColumn("hours", F.lit(h)) for h in (359, 360))
+    return early.unionByName(late)
 
 
 @query("SELECT event_id, user_id || '-' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') END AS window_id FROM events")
