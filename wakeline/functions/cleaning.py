@@ -40,3 +40,13 @@ def normalize(df: DataFrame) -> DataFrame:
     """Rows without a drop reason, their unknown motion values null."""
     clean = drop_reason(df).where("reason is null").drop("reason")
     return clean.withColumns({"sog": known_speed(F.col("sog")), "cog": known_course(F.col("cog")), "heading": known_heading(F.col("heading"))})
+
+
+def not_told(c: Column) -> Column:
+    """null in place of -1, which stands for a value that was not told."""
+    return F.nullif(c, F.lit(-1).cast("double"))
+
+
+def as_time(text: Column) -> Column:
+    """A time from ISO text, with or without a zone (then UTC); null for any other text."""
+    return F.call_function("try_to_timestamp", F.when(text.rlike(r"([+-]\d{2}:?\d{2}|Z)$"), text).otherwise(F.concat(text, F.lit("Z"))))

@@ -25,3 +25,21 @@ def angle_between(a: Column, b: Column) -> Column:
     """Smallest angle of two courses, 0 to 180."""
     d = F.pmod(F.abs(a - b), F.lit(360.0))
     return F.least(d, F.lit(360.0) - d)
+
+
+def ewkt(lat: Column, lon: Column, places: int | None = None) -> Column:
+    """`SRID=4326;POINT(lon lat)`; null where either is."""
+    text = (lambda c: c.cast("string")) if places is None else (lambda c: F.format_string(f"%.{places}f", c))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit("SRID=4326;POINT("), text(lon), F.lit(" "), text(lat), F.lit(")")))
+
+
+def point_of(text: Column) -> Column:
+    """lat and lon of such a text; null for any other."""
+    form = r"^(?:SRID=\d+;)?POINT\s*\(\s*(\S+)\s+(\S+)\s*\)$"
+    number = lambda i: F.regexp_extract(text, form, i).try_cast("double")
+    return F.when(text.rlike(form) & number(1).isNotNull() & number(2).isNotNull(), F.struct(number(2).alias("lat"), number(1).alias("lon")))
+
+
+def as_geojson(polygons: Column) -> Column:
+    """Polygons (arrays of rings of [lon, lat]) as a MultiPolygon's text."""
+    return F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), polygons.alias("coordinates")))

@@ -33,7 +33,7 @@ def scored(df: DataFrame) -> DataFrame:
             "soft": each(lambda a, b: a * b),
             "brier": each(lambda a, b: (a - b) * (a - b)),
             "tv": each(lambda a, b: F.abs(a - b)) / 2,
-            "kl": each(lambda a, b: b * F.log(held(b / a))),
+            "kl": each(lambda a, b: b * F.log(held(F.coalesce(F.try_divide(b, a), F.lit(RATIO[1]))))),
         }
     )
 

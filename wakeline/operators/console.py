@@ -13,7 +13,7 @@ from wakeline.sources.tracks import live
 SLOT = 6 * 3600
 
 
-def incident_list(incidents: DataFrame, limit: int, status: str | None = None, kind: str | None = None, mmsi: int | None = None, before: str | None = None) -> DataFrame:
+def incident_list(incidents: DataFrame, limit: int, status: str | None = None, kind: str | None = None, mmsi: int | None = None, before: str | None = None, _more: int = 0) -> DataFrame:
     """The newest incidents that fit every filter that is given."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must lie in 1..100")
@@ -22,7 +22,33 @@ def incident_list(incidents: DataFrame, limit: int, status: str | None = None, k
             incidents = incidents.where(F.col(name) == value)
     if before is not None:
         incidents = incidents.where(F.col("flagged_at") < F.lit(before).cast("timestamp_ntz"))
-    return incidents.orderBy(F.desc("flagged_at"), F.desc("incident_id")).limit(limit)
+    return incidents.orderBy(F.desc("flagged_at"), F.desc("incident_id")).limit(limit + _more)
+
+
+def incident_page(incidents: DataFrame, limit: int, **filters: str | int | None) -> DataFrame:
+    """incident_list() with `next_before`: the page's last time where more follow, else null. At most ``limit`` + 1 rows are ordered again."""
+    asked = incident_list(incidents, limit, **filters, _more=1)
+    newest = Window.orderBy(F.desc("flagged_at"), F.desc("incident_id"))
+    page = asked.withColumn("_n", F.row_number().over(newest)).withColumn("_all", F.count("*").over(Window.partitionBy()))
+    last = F.max(F.when(F.col("_n") == limit, F.col("flagged_at"))).over(Window.partitionBy())
+    return page.withColumn("next_before", F.when(F.col("_all") > limit, last)).where(F.col("_n") <= limit).drop("_n", "_all")
+
+
+def health(positions: DataFrame, incidents: DataFrame, as_of: Column) -> DataFrame:
+    """report_age_s and incident_age_s: seconds since the newest of each; null where there is none."""
+    age = lambda d, c, name: d.agg((F.unix_micros(as_of) / 1e6 - F.max(seconds(c))).alias(name))
+    return age(positions, "received_at", "report_age_s").join(age(incidents, "flagged_at", "incident_age_s"))
+
+
+#: Reviews below which their shares are not gone by.
+FEW_REVIEWS = 30
+
+
+def verdicts(reviewed: DataFrame, names: list[str]) -> DataFrame:
+    """tier, one count for each verdict, reviewed_total over all tiers and `trust` (too few, enough)."""
+    counts = reviewed.groupBy("tier").pivot("verdict", names).count().fillna(0)
+    total = F.sum(sum((F.col(c) for c in names), F.lit(0))).over(Window.partitionBy())
+    return counts.withColumn("reviewed_total", total).withColumn("trust", F.when(F.col("reviewed_total") < FEW_REVIEWS, "too few").otherwise("enough"))
 
 
 def incident_by_id(incidents: DataFrame, incident_id: int) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Sides of the cells in degrees, each a quarter of the one before.
 SIZES = [16.0 / 4**i for i in range(6)]
-#: A zone's cells are divided while there are fewer than this.
-MOST_CELLS = 512
+#: A zone's border cells are divided while it can't have more than this.
+MOST_CELLS = 2048
 CELL = ["_level", "_y", "_x"]
 
 
@@ -82,7 +82,7 @@ def zone_cells(polygons: list[np.ndarray], most: int = MOST_CELLS) -> list[tuple
         inner = clear[_inside(polygons, (clear[:, 0] + 0.5) * size, (clear[:, 1] + 0.5) * size)]
         found += [(level, int(y), int(x), True) for y, x in inner]
         cells = cells[border]
-        if not len(cells) or level + 1 == len(SIZES) or len(found) + len(cells) * 4 > most:
+        if not len(cells) or level + 1 == len(SIZES) or len(found) + len(cells) * 16 > most:
             return found + [(level, int(y), int(x), False) for y, x in cells]
         cells = np.concatenate([cells * 4 + (dy, dx) for dy in range(4) for dx in range(4)])
     return found

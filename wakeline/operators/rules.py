@@ -117,7 +117,7 @@ def pattern_vote(label: Column, sure: Column, hypothesis: Column) -> Column:
     return F.when(sure >= 0.7, F.when(label == "normal_track", "contradicts").otherwise(F.coalesce(*speaks)))
 
 
-# What counts as a share in percent, and as a claim that spoofing is confirmed (test_rules.py lists both).
+# What counts as a share in percent, and as a claim that spoofing is confirmed (test_stores.py lists both).
 PERCENT = r"([0-9]{1,3}([.][0-9]+)?)[ \t\r\n\f]*%"
 CONFIRMED = r"(?i)confirmed[ \t\r\n\f]+((gps|ais|gnss)[ \t\r\n\f]+)?spoof"
 

@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.operators import console, evidence, rules
-from wakeline.operators.detectors import votes
+from wakeline.functions.cleaning import not_told
+from wakeline.functions.geo import ewkt
+from wakeline.operators import console, evidence, investigate, rules
+from wakeline.operators.detectors import flagged, votes
 from wakeline.operators.windows import with_error
-from wakeline.plans.queries import GATE, IN_ZONE, INCIDENTS, KM, MAX_GAP, ORDERS, POS, VOTED, ZONES, A, B, _incidents, _orders, _steps, _zones
+from wakeline.plans.queries import GATE, IN_ZONE, INCIDENTS, KM, LIVE, MAX_GAP, ORDERS, POS, STEPS, VOTED, ZONES, A, B, _incidents, _live, _orders, _steps, _zones
 from wakeline.plans.registry import query
 from wakeline.settings import A_RANGE, B_OVER_A
 from wakeline.sources.files import with_row_id
@@ -92,3 +94,61 @@ def incident_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that follow from vessel and time, and evidence with an entry replaced."""
     o = with_row_id(_orders(spark, sf_dir).withColumn("day", F.date_format("flagged_at", "yyyy-MM-dd")), "mmsi", "day").withColumn("evidence", F.create_map(F.lit("scope"), F.lit("unknown")))
     return console.with_evidence(o, "scope", F.col("status")).select("incident_id", "id", F.col("evidence")["scope"].alias("scope"))
+
+
+BACK = STEPS.replace("l0", "l1").replace("st0", "sx0").replace(" st AS", " sx AS")
+#: Flagged windows as incidents, and each one's last 20 reports of a week with their steps.
+FLAGS = (
+    f"{VOTED}, fl AS (SELECT mmsi, event_id AS incident_id, received_at AS flagged_at, t, lat, lon, error AS score, votes FROM vo WHERE n_votes >= 1 AND {GATE} QUALIFY row_number() OVER (PARTITION BY mmsi, window_index ORDER BY n_votes DESC, error DESC, place DESC) = 1), "
+    "tr AS (SELECT fl.incident_id, live.* FROM fl JOIN live ON live.mmsi = fl.mmsi AND live.t BETWEEN fl.t - 7 * 86400 AND fl.t QUALIFY row_number() OVER (PARTITION BY fl.incident_id ORDER BY live.received_at DESC, live.event_id DESC) <= 20), "
+    f"{BACK.format(src='tr', key='incident_id')}, fz AS (SELECT incident_id, count(*) AS n_track, count(*) FILTER (WHERE gap_s > 0 AND implied BETWEEN 0 AND 0.5 AND sog > 0.5) AS n_freeze, coalesce(count(sog) >= 10 AND median(sog) <= 0.5, false) AS stationary FROM sx GROUP BY 1)"
+)
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = flagged(votes(with_error(_steps(spark, sf_dir)), A), B, max_gap_s=MAX_GAP)
+    return found.select(F.col("event_id").alias("incident_id"), "mmsi", F.col("received_at").alias("flagged_at"), "lat", "lon", F.col("error").alias("score"), "votes")
+
+
+@query(f"WITH {FLAGS} SELECT incident_id, n_track, n_freeze, stationary FROM fl JOIN fz USING (incident_id)")
+def track_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last 20 reports before each flagged window's report show."""
+    return investigate.track_evidence(_flags(spark, sf_dir), _live(spark, sf_dir), hours=7 * 24)
+
+
+@query(
+    f"WITH {FLAGS}, {ZONES}, z AS (SELECT incident_id, min(zone_id) AS zone_id FROM fl LEFT JOIN zone ON {IN_ZONE} GROUP BY incident_id), "
+    "k AS (SELECT fl.*, zone_id, n_freeze, stationary, row_number() OVER (PARTITION BY mmsi ORDER BY flagged_at, fl.incident_id) - 1 AS n_prior FROM fl JOIN z USING (incident_id) JOIN fz USING (incident_id)), "
+    f"h AS (SELECT *, CASE WHEN zone_id IS NOT NULL THEN 'jamming' WHEN score < {A} AND votes IN ('', 'prediction_error') THEN 'benign' WHEN n_freeze >= 3 THEN 'freeze_replay' WHEN votes = 'prediction_error' AND score <= 2 * {A} AND stationary THEN 'benign' WHEN n_prior = 0 THEN 'targeted_spoof' ELSE 'equipment_fault' END AS hypothesis FROM k), "
+    "c AS (SELECT *, (CASE WHEN hypothesis = 'jamming' THEN 0.85 WHEN hypothesis = 'benign' THEN 0.75 WHEN NOT contains(votes, '+') THEN 0.5 WHEN hypothesis = 'freeze_replay' THEN 0.8 WHEN hypothesis = 'targeted_spoof' THEN 0.72 ELSE 0.55 END)::DOUBLE AS confidence FROM h) "
+    "SELECT incident_id, zone_id, n_prior, n_freeze, stationary, hypothesis, confidence, CASE WHEN confidence >= 0.7 THEN 'reported' ELSE 'escalated' END AS status FROM c"
+)
+def investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged windows investigated on their own evidence: zone, earlier flags, and the track before the flag."""
+    found = investigate.investigate(_flags(spark, sf_dir), _live(spark, sf_dir), _zones(spark), A, hours=7 * 24)
+    return found.select("incident_id", "zone_id", "n_prior", "n_freeze", "stationary", "hypothesis", "confidence", "status")
+
+
+@query(f"WITH {INCIDENTS} SELECT epoch(TIMESTAMP '2024-02-01') - (SELECT max(t) FROM live) AS report_age_s, epoch(TIMESTAMP '2024-02-01') - (SELECT max(t) FROM inc) AS incident_age_s")
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages of the newest report and the newest incident, as of a time."""
+    return console.health(_live(spark, sf_dir), _incidents(spark, sf_dir), F.lit("2024-02-01").cast("timestamp"))
+
+
+@query(f"WITH {ORDERS} SELECT incident_id, mmsi, flagged_at, CASE WHEN (SELECT count(*) FROM (SELECT 1 FROM o WHERE kind = '2-HIGH' AND flagged_at < TIMESTAMP '1996-01-01' LIMIT 51)) > 50 THEN min(flagged_at) OVER () END AS next_before FROM (SELECT * FROM o WHERE kind = '2-HIGH' AND flagged_at < TIMESTAMP '1996-01-01' ORDER BY flagged_at DESC, incident_id DESC LIMIT 50)")
+def incident_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of 50 and the time at which the next one starts; null on the last."""
+    return console.incident_page(_orders(spark, sf_dir), 50, kind="2-HIGH", before="1996-01-01").select("incident_id", "mmsi", "flagged_at", "next_before")
+
+
+@query(f"WITH {ORDERS}, n AS (SELECT kind, status, count(*) AS n FROM o WHERE status <> 'O' GROUP BY ALL) SELECT kind AS tier, coalesce(sum(n) FILTER (WHERE status = 'F'), 0)::BIGINT AS confirmed, coalesce(sum(n) FILTER (WHERE status = 'P'), 0)::BIGINT AS unclear, (SELECT sum(n) FROM n)::BIGINT AS reviewed_total, CASE WHEN (SELECT sum(n) FROM n) < 30 THEN 'too few' ELSE 'enough' END AS trust FROM n GROUP BY kind")
+def analyst_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of each tier, how many there are in all, and whether that is enough to go by."""
+    o = _orders(spark, sf_dir).where("status <> 'O'").select(F.col("kind").alias("tier"), F.when(F.col("status") == "F", "confirmed").otherwise("unclear").alias("verdict"))
+    return console.verdicts(o, ["confirmed", "unclear"])
+
+
+@query(f"WITH {LIVE} SELECT event_id, 'SRID=4326;POINT(' || printf('%.6f', lon) || ' ' || printf('%.6f', lat) || ')' AS ewkt, nullif(coalesce(sog, -1), -1) AS sog, sha256(props) AS digest FROM live")
+def rendered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions as text of a geometry, missing values as null, and the digest of what came with them."""
+    return _live(spark, sf_dir).select("event_id", ewkt(F.col("lat"), F.col("lon"), 6).alias("ewkt"), not_told(F.coalesce("sog", F.lit(-1.0))).alias("sog"), F.sha2("props", 256).alias("digest"))
