@@ -2,11 +2,14 @@
 
 First pass: every block (text between block-level tags) gets points: for its stop-word density, its
 length, its link density, and for where it stands (in an article, or in a container that usually holds
-something else; where a page has an article, also for standing outside). Enough points make it good,
-too few bad, and what lies between, short blocks above all, stays open. Second pass: an open block takes
-the label of its nearest decided neighbours in the same article (or outside all); where these differ or
-are missing, headings go with what follows, longer prose with a good neighbour, and the rest with the
-place. A very long dense block may thus stand in a side container, and a linked list or a notice in an article goes.
+something else; where a page has an article, also for standing outside). A name of a container decides
+nothing by itself: one that holds half of the page's dense unlinked text or more (of that in articles, where there
+are any; comments aside) is no side container. Stop words are those of four languages, or, on a page that
+hardly has any, its own short frequent words; texts without spaces go by their punctuation. Enough points
+make a block good, too few bad, and what lies between, short blocks above all, stays open. Second pass: an
+open block takes the label of its nearest decided neighbours in the same article (or outside all); where these
+differ or are missing, headings go with what follows, longer prose with a good neighbour, and the rest with the
+place. Where no block is good, the open ones are. A linked list or a notice in an article goes.
 
 A hidden element without an end tag ends at the next block-level tag or with its parent, a head at the
 first element of the body; a tag without an end swallows the rest, as in browsers. Each page is read in
@@ -53,6 +56,8 @@ MARKED = re.compile(
     r"cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|toolbar|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+#: Beginnings of a name that say what a layout has, not what an element is.
+LAYOUT = re.compile(r"(?:^|\s)(?:has|no|not|with|without|is)[_-]\S*", re.I)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 #: What ends a tag or opens a quoted value in it.
 STEP = re.compile(r"""=\s*["']|>""")
@@ -62,9 +67,14 @@ ROLE = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|form
 COMMENT = re.compile(r"comment|reply", re.I)
 RIGHTS = re.compile(r"©|\bcopyright\b|all rights reserved", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese), and where their texts pause.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+PAUSE = re.compile(r"[。！？、，；။។\s]")
 
 #: Lengths of a short, a long and a very long block; stop-word densities of prose that may be and that is; share of linked text.
 SHORT, LONG, VERY_LONG, LOW, HIGH, LINKS = 70, 200, 1000, 0.18, 0.28, 0.4
+#: Stop-word density below which a page's own short words (of at most so many letters, so often) count; characters to a pause in a text without spaces.
+FOREIGN, FEW_LETTERS, OFTEN, TO_PAUSE = 0.1, 3, 3, 60
 #: Points from which a block is good, and up to which it is bad.
 GOOD, BAD = 2, -1
 
@@ -146,24 +156,29 @@ class Open:
     """The open elements: blocks on a stack, each with its open inline elements, and counts of what matters of them."""
 
     def __init__(self) -> None:
-        #: Name, whether it holds no main text, number of its article or 0, inline elements.
-        self.stack: list[tuple[str, bool, int, dict[str, int]]] = [("", False, 0, {})]
+        #: Name, number of the innermost side container or 0, number of its article or 0, inline elements.
+        self.stack: list[tuple[str, int, int, dict[str, int]]] = [("", 0, 0, {})]
         self.names: dict[str, int] = {}
-        self.outside = self.links = self.articles = 0
+        self.links = self.articles = 0
         self.inside = [0]
+        #: Of each side container: the one around it, and whether it is one of comments.
+        self.around, self.comments = [0], [False]
 
-    def push(self, name: str, outside: bool, article: bool) -> None:
+    def push(self, name: str, outside: bool, article: bool, comment: bool) -> None:
         self.articles += article
-        self.stack.append((name, outside, self.articles if article else 0, {}))
+        container = self.stack[-1][1]
+        if outside:
+            self.around.append(container)
+            self.comments.append(comment or self.comments[container])
+            container = len(self.around) - 1
+        self.stack.append((name, container, self.articles if article else 0, {}))
         self.names[name] = self.names.get(name, 0) + 1
-        self.outside += outside
         if article:
             self.inside.append(self.articles)
 
     def pop(self) -> str:
-        name, outside, article, inline = self.stack.pop()
+        name, _, article, inline = self.stack.pop()
         self.names[name] -= 1
-        self.outside -= outside
         self.links -= inline.get("a", 0)
         if article:
             self.inside.pop()
@@ -189,8 +204,30 @@ class Open:
 Block = tuple[str, float, bool, int, bool]
 
 
-def blocks(page: str) -> Iterator[Block]:
+def blocks(page: str) -> list[Block]:
     opened = Open()
+    return settled(list(_blocks(page, opened)), opened)
+
+
+def settled(found: list[tuple[str, float, int, int, bool]], opened: Open) -> list[Block]:
+    """Blocks with the number of their side container -> whether they stand in one that is one indeed."""
+    stop = own_words(found)
+    free = [(len(text), container, bool(article), density(text, stop) >= LOW) for text, links, container, article, _ in found if links <= LINKS]
+    plain = [x for x in free if x[3]] or free
+    own = [x for x in plain if not opened.comments[x[1]]]
+    voices = [x for x in own if x[2]] or own or plain
+    held = [0] * len(opened.around)
+    for size, container, *_ in voices:
+        held[container] += size
+    for i in range(len(held) - 1, 0, -1):  # a container comes after the one around it
+        held[opened.around[i]] += held[i]
+    side = [False]
+    for i in range(1, len(held)):
+        side.append(side[opened.around[i]] or 2 * held[i] < held[0] or not held[0])
+    return [(text, links, side[container], article, heading) for text, links, container, article, heading in found]
+
+
+def _blocks(page: str, opened: Open) -> Iterator[tuple[str, float, int, int, bool]]:
     parts: list[str] = []
     linked = breaks = skip = 0
     found, hidden = tokens(page), ""
@@ -200,7 +237,7 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal linked, breaks
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            yield text, min(1.0, linked / len(text)), opened.outside > 0, opened.inside[-1], opened.stack[-1][0] in HEADINGS
+            yield text, min(1.0, linked / len(text)), opened.stack[-1][1], opened.inside[-1], opened.stack[-1][0] in HEADINGS
         parts.clear()
         linked = breaks = 0
 
@@ -243,23 +280,42 @@ def blocks(page: str) -> Iterator[Block]:
                 opened.pop()
             marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(said))
             article = name in ("article", "main")
-            outside = name in OUTSIDE or name == "header" and not opened.inside[-1] or name not in ("html", "body", "article", "main") and bool(MARKED.search(marks) or ROLE.search(marks)) or name == "article" and bool(COMMENT.search(marks))
-            opened.push(name, outside, article)
+            outside = name in OUTSIDE or name == "header" and not opened.inside[-1] or name not in ("html", "body", "article", "main") and bool(MARKED.search(LAYOUT.sub(" ", marks)) or ROLE.search(marks)) or name == "article" and bool(COMMENT.search(marks))
+            opened.push(name, outside, article, bool(COMMENT.search(LAYOUT.sub(" ", marks))))
         else:
             opened.inline(name, closing)
     yield from done()
 
 
-def points(text: str, links: float, outside: bool, article: int, apart: bool) -> int | None:
+def own_words(found: list) -> frozenset[str]:
+    """The stop words of a page: the fixed ones, or its own short frequent words where it hardly has any of those."""
+    seen = [w for text, links, *_ in found if links <= LINKS for w in WORD.findall(text.lower())]
+    if sum(w in STOP_WORDS for w in seen) >= FOREIGN * len(seen):
+        return STOP_WORDS
+    counts: dict[str, int] = {}
+    for w in seen:
+        if len(w) <= FEW_LETTERS:
+            counts[w] = counts.get(w, 0) + 1
+    return frozenset(w for w, n in counts.items() if n >= OFTEN)
+
+
+def density(text: str, stop: frozenset[str]) -> float:
+    """Share of stop words; of a text without spaces, HIGH where it pauses often enough, else 0."""
+    if 2 * len(UNSPACED.findall(text)) > len(text):
+        return HIGH if len(PAUSE.findall(text)) * TO_PAUSE >= len(text) else 0.0
+    seen = WORD.findall(text.lower())
+    return sum(w in stop for w in seen) / max(1, len(seen))
+
+
+def points(text: str, links: float, outside: bool, article: int, apart: bool, stop: frozenset[str] = STOP_WORDS) -> int | None:
     """The points of a block; None for a short one whose place says nothing against it. ``apart`` is for a block outside the page's articles."""
     against = 3 * outside + (not outside and apart) + (not article and bool(RIGHTS.search(text)))
     if links > LINKS:
         return BAD - against
     if len(text) < SHORT:
         return None if not against and not (links and not article) else BAD - against
-    seen = WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in seen) / max(1, len(seen))
-    said = 1 if density >= HIGH else 0 if density >= LOW else -1
+    share = density(text, stop)
+    said = 1 if share >= HIGH else 0 if share >= LOW else -1
     return said + (len(text) > LONG) + (len(text) > VERY_LONG and said > 0) + bool(article and not outside) - against
 
 
@@ -274,11 +330,17 @@ def nearest(labels: list[bool | None], of: list[int]) -> list[bool | None]:
     return out
 
 
+def first_labels(found: list[Block]) -> list[bool | None]:
+    """The first pass: good, bad or (None) open."""
+    some = any(x[3] for x in found)
+    stop = own_words(found)
+    scores = [points(text, links, outside, article, some and not article, stop) for text, links, outside, article, _ in found]
+    return [None if p is None or BAD < p < GOOD else p >= GOOD for p in scores]
+
+
 def judged(found: list[Block]) -> list[bool]:
     """Both passes: whether each block is main text."""
-    some = any(x[3] for x in found)
-    scores = [points(text, links, outside, article, some and not article) for text, links, outside, article, _ in found]
-    labels = [None if p is None or BAD < p < GOOD else p >= GOOD for p in scores]
+    labels = first_labels(found)
     # Blocks in side containers decide nothing for those beside them.
     votes = [None if x[2] and x[3] else label for label, x in zip(labels, found, strict=True)]
     of = [x[3] for x in found]
@@ -300,8 +362,11 @@ def judged(found: list[Block]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    found = list(blocks(page or ""))
-    return "\n".join(x[0] for x, good in zip(found, judged(found), strict=True) if good)
+    found = blocks(page or "")
+    labels = judged(found)
+    if not any(labels):
+        labels = [label is None and not x[2] for label, x in zip(first_labels(found), found, strict=True)]
+    return "\n".join(x[0] for x, good in zip(found, labels, strict=True) if good)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
