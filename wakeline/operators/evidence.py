@@ -10,6 +10,8 @@ from wakeline.sources.tables import written
 
 #: Rows of a cell and time band beyond which near_in_time() divides it.
 HOT_CELL = 5000
+#: Rows of a few narrow columns up to which a counted table is broadcast.
+FEW_ROWS = 100_000
 
 
 def track_history(incidents: DataFrame, positions: DataFrame, hours: int = 24) -> DataFrame:
@@ -23,6 +25,18 @@ def track_history(incidents: DataFrame, positions: DataFrame, hours: int = 24) -
     return asked.join(held, ["mmsi", "_slot"]).where(F.col("_p").between(F.col("_t") - width, F.col("_t"))).drop("_slot", "_p", "_t")
 
 
+def track_around(incidents: DataFrame, positions: DataFrame, hours: int = 24, after_hours: int = 0) -> DataFrame:
+    """track_history() and, for ``after_hours``, the vessel's reports after the flag (`after`)."""
+    before = track_history(incidents, positions, hours).withColumn("after", F.lit(False))
+    if after_hours <= 0:
+        return before
+    width = after_hours * 3600
+    asked = incidents.select("incident_id", "mmsi", seconds("flagged_at").alias("_t")).withColumn("_slot", F.explode(F.array(F.floor(F.col("_t") / width), F.floor(F.col("_t") / width) + 1)))
+    held = positions.withColumn("_p", seconds("received_at")).withColumn("_slot", F.floor(F.col("_p") / width))
+    later = asked.join(held, ["mmsi", "_slot"]).where((F.col("_p") > F.col("_t")) & (F.col("_p") <= F.col("_t") + width)).drop("_slot", "_p", "_t")
+    return before.unionByName(later.withColumn("after", F.lit(True)))
+
+
 def near_in_time(incidents: DataFrame, held: DataFrame, km: float, minutes: int, load: int = HOT_CELL) -> DataFrame:
     """Each incident with the rows of ``held`` (other, lat, lon, _p in seconds) of other vessels within the distance and the time band, and `km`.
 
@@ -99,7 +113,8 @@ def same_kind_elsewhere(incidents: DataFrame, kind: str, most: int = 10) -> Data
     by_time = (F.desc("flagged_at"), F.desc("incident_id"))
     own = incidents.withColumn("_v", F.row_number().over(Window.partitionBy(kind, "mmsi").orderBy(*by_time))).where(F.col("_v") <= most)
     top = own.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(*by_time))).where(F.col("_k") <= 2 * most)
-    held = top.select(kind, F.col("mmsi").alias("_mmsi"), F.col("incident_id").alias("other_id"), F.col("flagged_at").alias("_at"))
+    held = written(top.select(kind, F.col("mmsi").alias("_mmsi"), F.col("incident_id").alias("other_id"), F.col("flagged_at").alias("_at")), "kinds")
+    held = F.broadcast(held) if held.count() <= FEW_ROWS else held  # a few kinds are hot keys, but then there is little to send
     met = incidents.select("incident_id", "mmsi", kind).join(held, kind).where("mmsi <> _mmsi")
     return met.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("_at"), F.desc("other_id")))).where(F.col("place") <= most).select("incident_id", "other_id", "place")
 

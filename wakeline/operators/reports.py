@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.settings import HISTOGRAM
+from wakeline.sources.tables import written
 
 BINS, LOW, PER = HISTOGRAM["bins"], HISTOGRAM["low"], HISTOGRAM["per_decade"]
 
@@ -125,6 +126,13 @@ def score_at_shares(histogram: DataFrame, shares: list[float]) -> DataFrame:
     return met.select(F.col("s").alias("share"), F.exp(high - (F.col("s") - F.col("share") + F.col("own")) / F.col("own") * (high - low)).alias("threshold"))
 
 
+def review_precision(reviews: DataFrame, key: str) -> DataFrame:
+    """key (blank or null: untracked), reviewed, unclear, correct and precision (null where nothing was clear) from `verdict`."""
+    own = F.coalesce(F.nullif(F.col(key), F.lit("")), F.lit("untracked")).alias(key)
+    n = reviews.where("verdict is not null").groupBy(own).agg(F.count("*").alias("reviewed"), F.count_if(F.col("verdict") == "unclear").alias("unclear"), F.count_if(F.col("verdict") == "correct").alias("correct"))
+    return n.withColumn("precision", F.try_divide("correct", F.col("reviewed") - F.col("unclear")))
+
+
 def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1 and accuracy; 0 where a denominator is 0."""
     n = df.select(predicted.alias("p"), actual.alias("a")).agg(*(F.count_if(x).alias(k) for k, x in (("tp", F.expr("p and a")), ("fp", F.expr("p and not a")), ("fn", F.expr("not p and a")), ("tn", F.expr("not p and not a")))))
@@ -149,7 +157,7 @@ def percentiles(df: DataFrame, column: str, shares: list[float], per_decade: int
     each bin by itself and equal values as one, so that no task holds the column.
     """
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    binned = x.withColumn("bin", F.floor(F.log10(F.greatest("x", F.lit(1e-15))) * per_decade))
+    binned = written(x.withColumn("bin", F.floor(F.log10(F.greatest("x", F.lit(1e-15))) * per_decade)), "percentiles")  # read twice
     bins = binned.groupBy("bin").agg(F.count("*").alias("n"))
     upto = bins.withColumn("_end", F.sum("n").over(Window.orderBy("bin"))).withColumn("_all", F.sum("n").over(Window.partitionBy()))
     at = F.explode(F.array(*map(F.lit, shares))).alias("p")

@@ -47,6 +47,19 @@ def last_reports(df: DataFrame, size: int = WINDOW) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= size).drop("_n")
 
 
+def recent_reports(df: DataFrame, since: Column, size: int = WINDOW, least: int = WINDOW) -> DataFrame:
+    """Each vessel's newest ``size`` reports after a time, with `short_history` where it has fewer than ``least``."""
+    kept = last_reports(df.where(F.col("received_at") > since), size)
+    return kept.withColumn("short_history", F.count("*").over(Window.partitionBy("mmsi")) < least)
+
+
+def first_of(windows: DataFrame, vessels: int | None = None, most: int | None = None) -> DataFrame:
+    """Windows (mmsi, window_index) of the first ``vessels``, and of these the first ``most``, in order."""
+    if vessels is not None:
+        windows = windows.join(F.broadcast(windows.select("mmsi").distinct().orderBy("mmsi").limit(vessels)), "mmsi", "left_semi")
+    return windows if most is None else windows.orderBy("mmsi", "window_index").limit(most)
+
+
 def steps(df: DataFrame, along: WindowSpec | None = None) -> DataFrame:
     """Adds gap_s, step_km, implied (knots; -1 without a step), bearing, dlat, dlon and sog_change, all to the report before."""
     along = along or chunk()

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.cleaning import not_told
 from wakeline.functions.geo import ewkt
-from wakeline.operators import console, evidence, investigate, rules
+from wakeline.operators import console, evidence, investigate, reports, rules, texts
 from wakeline.operators.detectors import flagged, votes
-from wakeline.operators.windows import with_error
-from wakeline.plans.queries import GATE, IN_ZONE, INCIDENTS, KM, LIVE, MAX_GAP, ORDERS, POS, STEPS, VOTED, ZONES, A, B, _incidents, _live, _orders, _steps, _zones
+from wakeline.operators.windows import first_of, recent_reports, with_error
+from wakeline.plans.queries import GATE, IN_ZONE, INCIDENTS, KM, LIVE, MAX_GAP, ORDERS, POS, STEPS, VOTED, WINDOWS, ZONES, A, B, _incidents, _live, _orders, _steps, _zones
 from wakeline.plans.registry import query
 from wakeline.settings import A_RANGE, B_OVER_A
 from wakeline.sources.files import with_row_id
@@ -152,3 +152,60 @@ def analyst_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions as text of a geometry, missing values as null, and the digest of what came with them."""
     return _live(spark, sf_dir).select("event_id", ewkt(F.col("lat"), F.col("lon"), 6).alias("ewkt"), not_told(F.coalesce("sog", F.lit(-1.0))).alias("sog"), F.sha2("props", 256).alias("digest"))
+
+
+NUMBERS = (
+    f"{WINDOWS}, nu AS (SELECT *, implied <> -1 AS ok, implied <> -1 AND sog IS NOT NULL AS told, coalesce(implied <> -1 AND implied <= 0.5 AND sog > 0.5, false) AS claim, lag(cog) OVER w AS pcog, round(lat, 5) AS y, round(lon, 5) AS x FROM st WINDOW w AS (PARTITION BY mmsi, window_index ORDER BY received_at, event_id)), "
+    "nv AS (SELECT *, min(place) OVER (PARTITION BY mmsi, window_index, y, x) < place - 1 AND NOT (lag(y) OVER w IS NOT DISTINCT FROM y AND lag(x) OVER w IS NOT DISTINCT FROM x) AS again, sum((NOT claim)::INT) OVER w AS island, sum(told::INT) OVER w - 1 AS i, sum(told::INT) OVER (PARTITION BY mmsi, window_index) AS m FROM nu WINDOW w AS (PARTITION BY mmsi, window_index ORDER BY received_at, event_id)), "
+    "nw AS (SELECT *, count(*) FILTER (WHERE claim) OVER (PARTITION BY mmsi, window_index, island) AS run, implied - sog AS d FROM nv), "
+    "nn AS (SELECT mmsi, window_index, count(*) AS n, (max(t) - min(t)) / 60 AS span, coalesce(avg(sog), 0) AS mean_sog, coalesce(max(sog), 0) AS max_sog, coalesce(avg(implied) FILTER (WHERE ok), 0) AS mean_implied, coalesce(max(implied) FILTER (WHERE ok), 0) AS max_implied, coalesce(max(step_km) FILTER (WHERE ok), 0) AS max_step, count(*) FILTER (WHERE claim) AS claims, max(run) AS longest, count(*) FILTER (WHERE again) AS again, "
+    "coalesce(max(least(abs(cog - pcog) % 360, 360 - abs(cog - pcog) % 360)) FILTER (WHERE ok), 0) AS turn, coalesce(max(least(abs(cog - step_bearing) % 360, 360 - abs(cog - step_bearing) % 360)) FILTER (WHERE implied > 1), 0) AS off, coalesce(avg(d) FILTER (WHERE told AND i >= m - greatest(1, m // 3)) - avg(d) FILTER (WHERE told AND i < greatest(1, m // 3)), 0) AS trend FROM nw GROUP BY mmsi, window_index)"
+)
+
+
+@query(
+    f"WITH {NUMBERS} SELECT mmsi, window_index, printf('reports: %d, span_minutes: %.1f', n, span) || chr(10) || printf('reported_speed_knots: mean %.1f, max %.1f', mean_sog, max_sog) || chr(10) || printf('implied_speed_knots: mean %.1f, max %.1f', mean_implied, max_implied) || chr(10) || printf('max_implied_over_max_reported: %.1f', max_implied / greatest(max_sog, 1)) || chr(10) || printf('max_step_km: %.2f', max_step) || chr(10) "
+    "|| printf('steps_claiming_speed_but_not_moving: %d, longest_run: %d', claims, longest) || chr(10) || printf('reports_repeating_earlier_positions: %d', again) || chr(10) || printf('max_course_change_between_reports_deg: %.0f', turn) || chr(10) || printf('max_course_vs_travel_direction_deg: %.0f', off) || chr(10) || printf('implied_minus_reported_speed_trend_knots: %+.1f', trend) AS summary FROM nn"
+)
+def track_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window's summary, as the classifier reads it."""
+    return texts.track_summaries(_steps(spark, sf_dir)).select("mmsi", F.col("window_index").cast("long").alias("window_index"), "summary")
+
+
+SAID = "CASE v WHEN 'prediction_error' THEN 'Prediction error' WHEN 'freeze_replay' THEN 'Freeze or replay' END"
+
+
+@query(
+    f"WITH {FLAGS}, {ZONES}, z AS (SELECT incident_id, min(zone_id) AS zone_id FROM fl LEFT JOIN zone ON {IN_ZONE} GROUP BY incident_id), k AS (SELECT fl.*, zone_id, n_track, n_freeze, row_number() OVER (PARTITION BY mmsi ORDER BY flagged_at, fl.incident_id) - 1 AS n_prior FROM fl JOIN z USING (incident_id) JOIN fz USING (incident_id)) "
+    f"SELECT incident_id, array_to_string(list_filter([CASE WHEN votes <> '' THEN 'Detectors that fired: ' || array_to_string([{SAID} FOR v IN string_split(votes, '+')], ', ') || '.' END, CASE WHEN n_freeze >= 3 THEN n_freeze || ' of ' || (n_track - 1) || ' report pairs repeat a position while reported speed stays above the minimum.' END, "
+    "CASE WHEN zone_id IS NOT NULL THEN 'The position is inside a known jamming area: ' || zone_id || '.' ELSE 'No known jamming area contains the position.' END, CASE n_prior WHEN 0 THEN 'No earlier incident on this vessel.' WHEN 1 THEN '1 earlier incident on this vessel.' ELSE n_prior || ' earlier incidents on this vessel.' END], lambda x: x IS NOT NULL), chr(10)) AS lines FROM k"
+)
+def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = investigate.investigate(_flags(spark, sf_dir), _live(spark, sf_dir), _zones(spark), A, hours=7 * 24)
+    return texts.evidence_lines(found).select("incident_id", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("SELECT o_orderstatus || '+' || o_orderpriority AS votes, count(*) AS reviewed, count(*) FILTER (WHERE o_orderstatus = 'P') AS unclear, count(*) FILTER (WHERE o_orderstatus = 'F') AS correct, round(count(*) FILTER (WHERE o_orderstatus = 'F') / nullif(count(*) FILTER (WHERE o_orderstatus <> 'P'), 0), 6) AS precision FROM orders GROUP BY 1")
+def review_precision_by_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews by the detectors that voted."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return reports.review_precision(o.select(F.concat_ws("+", "o_orderstatus", "o_orderpriority").alias("votes"), F.when(F.col("o_orderstatus") == "P", "unclear").when(F.col("o_orderstatus") == "F", "correct").otherwise("wrong").alias("verdict")), "votes").withColumn("precision", F.round("precision", 6))
+
+
+@query(f"WITH {POS}, h AS (SELECT *, received_at > TIMESTAMP '2024-01-29' AS recent FROM live) SELECT mmsi, count(*) AS n, count(*) < 3 AS short_history FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY received_at DESC, event_id DESC) AS r FROM (SELECT * FROM pos WHERE message_type <> 'signup' AND received_at > TIMESTAMP '2024-01-29')) WHERE r <= 20) GROUP BY mmsi".replace(", h AS (SELECT *, received_at > TIMESTAMP '2024-01-29' AS recent FROM live)", ""))
+def recent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vessel's newest 20 reports of a time, and whether they are too few."""
+    found = recent_reports(_live(spark, sf_dir), F.lit("2024-01-29").cast("timestamp_ntz"), least=3)
+    return found.groupBy("mmsi").agg(F.count("*").alias("n"), F.any_value("short_history").alias("short_history"))
+
+
+@query(f"WITH {INCIDENTS} SELECT incident_id, event_id, pos.t > inc.t AS after FROM inc JOIN pos ON pos.mmsi = inc.mmsi AND pos.t BETWEEN inc.t - 86400 AND inc.t + 43200")
+def incident_track_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vessel's reports from a day before the flag to half a day after it."""
+    return evidence.track_around(_incidents(spark, sf_dir), positions(spark, sf_dir), 24, 12).select("incident_id", "event_id", "after")
+
+
+@query(f"WITH {WINDOWS}, v AS (SELECT mmsi, row_number() OVER (ORDER BY mmsi) AS v FROM (SELECT DISTINCT mmsi FROM st)), w AS (SELECT mmsi, window_index, row_number() OVER (ORDER BY mmsi, window_index) AS w FROM (SELECT DISTINCT mmsi, window_index FROM st) JOIN v USING (mmsi) WHERE v <= 40) SELECT mmsi, window_index FROM w WHERE w <= 60")
+def first_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling cap of a training run: windows of the first 40 vessels, at most 60."""
+    return first_of(_steps(spark, sf_dir).select("mmsi", F.col("window_index").cast("long").alias("window_index")).distinct(), vessels=40, most=60)
