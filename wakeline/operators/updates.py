@@ -40,3 +40,10 @@ def expire_reports(reports: DataFrame, as_of: Column) -> DataFrame:
     """Report texts whose time is over become null with the reason `expired`."""
     over = F.coalesce(F.col("report_text").isNotNull() & (F.col("expires_at") < as_of), F.lit(False))
     return reports.withColumns({"delete_reason": F.when(over, "expired").otherwise(F.col("delete_reason")), "report_text": F.when(~over, F.col("report_text"))})
+
+
+def upsert_zones(stored: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored zones after a file's, by name and source_url, and the counts (inserted, updated, skipped); rows whose `origin` isn't manual are never touched."""
+    after = upsert(stored, zones.withColumn("origin", F.lit("manual")).select(*stored.columns), ["name", "source_url"], F.col("origin") == "manual")
+    counts = after.agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "skipped")))
+    return after.drop("action"), counts

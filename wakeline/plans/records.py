@@ -97,3 +97,26 @@ def recorded_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expired_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _orders(spark, sf_dir).select("incident_id", F.when(F.col("status") != "O", F.col("kind")).alias("report_text"), F.col("flagged_at").alias("expires_at"), F.lit(None).cast("string").alias("delete_reason"))
     return updates.expire_reports(held, F.expr("timestamp_ntz'1997-01-01 00:00:00'")).select("incident_id", "report_text", "delete_reason")
+
+
+@query("WITH c AS (SELECT c_name AS name, c_mktsegment AS url, c_custkey AS k, c_nationkey AS n FROM customer) SELECT count(*) FILTER (WHERE k % 3 = 0) AS inserted, count(*) FILTER (WHERE k % 3 <> 0 AND n % 2 = 0) AS updated, count(*) FILTER (WHERE k % 3 <> 0 AND n % 2 = 1) AS skipped FROM c WHERE k % 2 = 0")
+def upserted_zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's zones against stored ones, by name and source; what happened to them."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("source_url"), "c_custkey", "c_nationkey")
+    stored = c.where("c_custkey % 3 <> 0").select("name", "source_url", F.lit(0.5).alias("confidence"), F.when(F.col("c_nationkey") % 2 == 0, "manual").otherwise("official").alias("origin"))
+    return updates.upsert_zones(stored, c.where("c_custkey % 2 = 0").select("name", "source_url", F.lit(0.9).alias("confidence")))[1]
+
+
+@query("WITH e AS (SELECT user_id, event_id, ts, event_id % 4 = 0 AS stored FROM events), s AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM e WHERE stored GROUP BY 1), g AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM e WHERE NOT stored AND user_id % 3 > 0 GROUP BY 1) SELECT coalesce(g.user_id, s.user_id) AS user_id, coalesce(g.event_id, s.event_id) AS event_id, CASE WHEN g.user_id IS NULL THEN 'kept' WHEN s.user_id IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM s FULL JOIN g ON g.user_id = s.user_id")
+def updated_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vessels' new rows against stored ones: inserted, updated and kept."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts")
+    last = lambda d: updates.last_of_key(d, ["user_id"], F.struct("ts", "event_id"))
+    return updates.upsert(last(e.where("event_id % 4 = 0")), last(e.where("event_id % 4 <> 0 and user_id % 3 > 0")), ["user_id"]).select("user_id", "event_id", "action")
+
+
+@query(f"WITH {INCIDENTS} SELECT incident_id, c_nationkey AS ship_type, c_custkey IS NOT NULL AS known FROM inc LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 > 0) ON c_custkey = mmsi")
+def incident_vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each incident's vessel, and whether it is known at all."""
+    static = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("mmsi"), F.col("c_nationkey").alias("ship_type"), F.lit(True).alias("known"))
+    return _incidents(spark, sf_dir).join(static, "mmsi", "left").select("incident_id", "ship_type", F.coalesce("known", F.lit(False)).alias("known"))

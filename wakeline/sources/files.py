@@ -3,7 +3,9 @@
 Every sink can be run again: parts are written over, or rows that are there already are left out.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -22,15 +24,22 @@ def labelled_readings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank ones are passed over, and one that is no JSON stops the read with its file and text."""
+    """JSON lines; blank ones are passed over, and one that is no JSON stops the read with its file, line number and text."""
     lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
     read = lines.withColumn("_r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     bad = read.where("_r is null or _r._bad is not null").select("file", "value").first()
     if bad:
-        raise ValueError(f"{bad.file}: not valid JSON: {bad.value[:200]}")
+        raise ValueError(f"{bad.file}:{_line_of(spark, bad.file, bad.value)}: not valid JSON: {bad.value[:200]}")
     return read.select("_r.*").drop("_bad")
 
 
+def _line_of(spark: SparkSession, file: str, line: str) -> int | str:
+    """The number of the first such line of one file, which is read as a whole; only a failed read asks."""
+    each = spark.read.text(file, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value"))
+    found = each.where(F.col("value") == line).agg(F.min("i")).first()[0]
+    return "?" if found is None else found + 1
+
+
 def read_labels(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
     """id and label of each id once; missing, unknown and conflicting labels stop the read."""
     rows = read_lines(spark, path, "id string, label string")
@@ -68,6 +77,34 @@ def with_row_id(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("id", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)), 256))
 
 
+def dataset_checks(rows: DataFrame, labels: list[str], few: int = 50) -> DataFrame:
+    """split, label, n, few (fewer than wanted) of every split and label, those without rows too; a vessel in two splits stops the read."""
+    both = rows.groupBy("mmsi").agg(F.count_distinct("split").alias("n")).where("n > 1").orderBy("mmsi").limit(5).collect()
+    if both:
+        raise ValueError(f"vessels in more than one split: {[r.mmsi for r in both]}")
+    grid = rows.select("split").distinct().select("split", F.explode(F.array(*map(F.lit, labels))).alias("label"))
+    n = rows.groupBy("split", "label").agg(F.count("*").alias("n"))
+    return grid.join(n, ["split", "label"], "left").select("split", "label", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) < few).alias("few"))
+
+
+def batches(spark: SparkSession, folder: str, size: int, seed: int | None = None, *keys: str) -> Iterator[list[Row]]:
+    """Rows of a folder's shards in lists of ``size`` (the last may be shorter), in the order of the seed if one is given; a partition at a time comes to the driver."""
+    rows = spark.read.parquet(folder)
+    held: list[Row] = []
+    for row in (rows if seed is None else shuffled(rows, seed, *keys)).toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def write_report(report: DataFrame, folder: str, name: str) -> None:
+    """A report of one row as JSON with its nulls, written over when it is made again."""
+    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}")
+
+
 def write_shards(rows: DataFrame, folder: str, most: int = 2048) -> None:
     """Parquet shards of at most ``most`` rows, by split."""
     rows.write.mode("overwrite").option("maxRecordsPerFile", most).partitionBy("split").parquet(folder)

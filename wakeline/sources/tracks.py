@@ -38,3 +38,16 @@ def import_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         whole("MMSI").alias("mmsi"), F.expr("try_cast(BaseDateTime as timestamp_ntz)").alias("received_at"), number("LAT").alias("lat"), number("LON").alias("lon"), number("SOG").alias("sog"), number("COG").alias("cog"), whole("Heading").alias("heading")
     ).where("mmsi is not null and received_at is not null and lat is not null and lon is not null")
+
+
+def as_historical(imported: DataFrame) -> DataFrame:
+    """Imported rows in the shape of stored positions: marked historical, without what such files don't tell."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return imported.select("mmsi", "received_at", "lat", "lon", "sog", "cog", "heading", none("double").alias("rate_of_turn"), F.lit("historical").alias("message_type"))
+
+
+def box_scan(positions: DataFrame, start: str, end: str, south: float, north: float, west: float, east: float) -> DataFrame:
+    """Reports of a half-open range of times inside a closed box; of a table by `event_date` only the range's days are read."""
+    first, last = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+    inside = positions.where((F.col("received_at") >= first) & (F.col("received_at") < last) & F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    return inside.where(F.col("event_date").between(F.to_date(first), F.to_date(last))) if "event_date" in positions.columns else inside
