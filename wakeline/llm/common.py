@@ -76,10 +76,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (a whole number), text_hash and text (null: empty); the first two are the document, also where a doc_id repeats."""
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id (a whole number), text_hash and text (null: empty), and what more is asked for; the first two are the document, also where a doc_id repeats."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *more)
 
 
 def bounded_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None, size: Column | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import KEYS, as_bytes, bounded_join, checkpoint, chunks, keyed, mix, n_buckets, prefix_hash, span_hash, tidy
@@ -354,11 +354,13 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept and text_hash of every row.
+def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, along: Column | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept and text_hash of every row, and `along`, a column of the row's own, if one is given.
 
-    kept holds the remaining bytes, or, ``as_text``, the characters that are still whole in them.
+    kept holds the remaining bytes, or, ``as_text``, the characters that are still whole in them. What goes along with
+    the text need not be joined to it again.
     """
+    rows = keyed(docs) if along is None else keyed(docs, along.alias("along"))
     docs = keyed(docs)
     spans, twins = repeat_spans(docs, length)
     ordered = Window.partitionBy(*KEYS).orderBy("start", "stop")
@@ -376,7 +378,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) ->
                 kept, removed, runs = _cut(raw, pairs)
                 out.append((d, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept, k))
             cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.string() if as_text else pa.binary(), pa.int64()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_hash"])
-
-    held = bounded_join(docs, checkpoint(marked), KEYS, "left", size=F.coalesce(F.size("spans"), F.lit(0)) * 40)
-    return held.select(*KEYS, "text", "spans", "twin").mapInArrow(tidy(cut), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}, text_hash long")
+            made = [pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.string() if as_text else pa.binary(), pa.int64()), strict=True)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_hash"]
+            yield pa.RecordBatch.from_arrays([*made, *(b.column(c) for c in more)], [*names, *more])
+
+    more = [c for c in rows.columns if c == "along"]
+    held = bounded_join(rows, checkpoint(marked), KEYS, "left", size=F.coalesce(F.size("spans"), F.lit(0)) * 40)
+    shape = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}, text_hash long"
+    return held.select(*KEYS, "text", "spans", "twin", *more).mapInArrow(tidy(cut), ", ".join([shape, *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
