@@ -65,12 +65,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that occurred before; bytes that no longer make a character go with them; a document left empty stays as an empty text."""
-    own = named(docs)
     with small_batches(spark):
-        kept = remove_repeats(docs, PASSAGE_BYTES, as_text=True)
-        changed = checkpoint(kept.where("n_removed > 0").select(*KEYS, F.col("kept").alias("_text")).dropDuplicates(KEYS))
-    text = F.coalesce("_text", "text")
-    return bounded_join(own, changed, KEYS, "left", size=F.octet_length("_text")).select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).alias("n_chars"))
+        kept = remove_repeats(docs, PASSAGE_BYTES, as_text=True, along=F.struct("lang", "source", "n_chars", F.isnull("text").alias("none")))
+    changed = F.col("n_removed") > 0
+    text = F.when(changed | ~F.col("along.none"), F.col("kept"))
+    return kept.select("doc_id", text.alias("text"), F.col("along.lang").alias("lang"), F.col("along.source").alias("source"), F.when(changed, F.length("kept")).otherwise(F.col("along.n_chars")).alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
