@@ -3,9 +3,11 @@
 import random
 import time
 
+import duckdb
 import pytest
 
 from wakeline.llm.html_text import blocks, judged, main_text
+from wakeline.llm.oracle import op7
 from wakeline.llm.url_graph import DAMPING, judge
 
 PROSE = "This is the text of the page and it was written for all of you who are in the house with us today. "
@@ -71,8 +73,28 @@ def test_scores_equal_plain_rounds_and_a_farm_is_found(spark):
     links |= {f: [*draw.sample([x for x in farm if x != f], 2), *bad, draw.choice(good)] for f in farm}
     links["seed.net"] = draw.sample(good, 5)
     rows = [(i, f"http://{h}/" + ("en/" if h in bad else "de/" if h == "seed.net" else ""), "".join(f'<a class=c href="http://{t}/x">t</a>' for t in links.get(h, ()))) for i, h in enumerate([*good, *farm, *bad, "seed.net"])]
-    got = {r.host: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found = judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.host: r for r in found.collect()}
     trust, distrust = plain_scores(links, {"seed.net"}, False), plain_scores(links, set(bad), True, {"seed.net"})
     for h, r in got.items():
         assert r.trust == pytest.approx(trust[h], abs=2e-3) and r.distrust == pytest.approx(distrust[h], abs=2e-3), h
     assert {h for h, r in got.items() if r.verdict == "block"} == {*farm, *bad}
+
+
+def test_sql_equals_the_query_where_there_are_links(spark):
+    draw = random.Random(9)
+    hosts = [*(f"h{i}.info" for i in range(40)), "a.com", "b.com", "seed.net", "x.org"]
+    url = {"a.com": "en/1", "b.com": "en/2", "seed.net": "de/", "x.org": "es/"}
+    rows = [(i, f"http://{h}/{url.get(h, 'p')}", "".join(f'<a href="//{t}/x">t</a>' for t in draw.choices(hosts, k=draw.randrange(6)))) for i, h in enumerate([*hosts, *draw.choices(hosts, k=20)])]
+    df = judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    q = con.sql(op7())
+    columns = sorted(df.columns)
+    want = sorted(q.select(*columns).fetchall())
+    got = sorted(tuple(r) for r in df.select(*columns).collect())
+    assert columns == sorted(q.columns) and len(got) == len(want) == len(rows)
+    assert {r[columns.index("verdict")] for r in want} == {"allow", "block"} and any(r[columns.index("distrust")] > 0 and r[columns.index("rule")] is None for r in want)
+    for g, w in zip(got, want, strict=True):
+        assert all(x == y or isinstance(x, float) and abs(x - y) < 1e-9 for x, y in zip(g, w, strict=True)), (g, w)

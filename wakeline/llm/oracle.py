@@ -7,7 +7,7 @@ from wakeline.llm.centroids import ROUNDS as TURNS
 from wakeline.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT
 from wakeline.llm.resampling import SEED as DRAW
 from wakeline.llm.sharding import ROUNDS
-from wakeline.llm.url_graph import DAMPING, MOST_ROUNDS, RULES, THRESHOLD
+from wakeline.llm.url_graph import DAMPING, MOST_ROUNDS, RULES, THRESHOLD, TOLERANCE
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TEXT = LOWER.format("coalesce(text, '')")
@@ -58,7 +58,8 @@ def op7() -> str:
 
     def rounds(name: str, seed: str, source: str, to: str, edges: str) -> str:
         return f"""{name} AS (SELECT 0 AS i, host, {seed} AS seed, {1 - DAMPING} * {seed} AS score FROM seeds UNION ALL
- SELECT s.i + 1, s.host, s.seed, {1 - DAMPING} * s.seed + {DAMPING} * coalesce(sum(p.score * e.share), 0) FROM {name} s LEFT JOIN {edges} e ON e.{to} = s.host LEFT JOIN {name} p ON p.host = e.{source} WHERE s.i < {MOST_ROUNDS} GROUP BY s.i, s.host, s.seed)"""
+ SELECT s.i + 1, s.host, s.seed, {1 - DAMPING} * s.seed + {DAMPING} * coalesce(sum(p.score * e.share), 0) FROM {name} s LEFT JOIN {edges} e ON e.{to} = s.host LEFT JOIN {name} p ON p.host = e.{source} WHERE s.i < {MOST_ROUNDS} GROUP BY s.i, s.host, s.seed),
+{name}n AS (SELECT coalesce(min(i), {MOST_ROUNDS}) AS n FROM (SELECT i, max(abs(score - before)) AS moved FROM (SELECT i, score, lag(score) OVER (PARTITION BY host ORDER BY i) AS before FROM {name}) WHERE i > 0 GROUP BY i) WHERE moved <= {TOLERANCE})"""
 
     return f"""WITH RECURSIVE u AS (SELECT row_number() OVER () AS rid, page_id, html, {host.format("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(what, rule, rhost, rpath) AS (VALUES {rules}),
@@ -72,7 +73,7 @@ go AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges),
 doubted AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges WHERE src NOT IN (SELECT host FROM seeds WHERE trust > 0)),
 {rounds("tr", "trust", "src", "dst", "go")}, {rounds("di", "distrust", "dst", "src", "doubted")}
 SELECT page_id, host, path, rule, coalesce(what, CASE WHEN seeds.distrust > 0 OR (seeds.trust = 0 AND di.score > {THRESHOLD} AND di.score > tr.score) THEN 'block' ELSE 'allow' END) AS verdict, tr.score AS trust, di.score AS distrust
-FROM known JOIN seeds USING (host) JOIN tr USING (host) JOIN di USING (host) WHERE tr.i = {MOST_ROUNDS} AND di.i = {MOST_ROUNDS}"""
+FROM known JOIN seeds USING (host) JOIN tr USING (host) JOIN di USING (host) WHERE tr.i = (SELECT n FROM trn) AND di.i = (SELECT n FROM din)"""
 
 
 # Every byte and the 100-byte string that starts there; of equal strings the first stays, by document and place.
