@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wakeline.llm.centroids import CLUSTERS, SEED, WIDTH
 from wakeline.llm.centroids import ROUNDS as TURNS
+from wakeline.llm.decontaminate import SLOP
 from wakeline.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT
 from wakeline.llm.resampling import SEED as DRAW
 from wakeline.llm.sharding import ROUNDS
@@ -92,8 +93,12 @@ v AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k + 1:k
 o AS (SELECT rid, p, z.n, array_to_string(w[p + 1:p + z.n], ' ') AS s FROM d, (SELECT DISTINCT n FROM v) z, unnest(range(len(w))) u(p) WHERE p + z.n <= len(w)),
 h AS (SELECT rid, p, o.n, item_id FROM o JOIN v ON v.s = o.s AND v.n = o.n),
 c AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT rid, p, n FROM h)) GROUP BY rid),
-m AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM h) GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)"""
+m AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM h) GROUP BY rid),
+q AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS p FROM d), f AS (SELECT word, count(*) AS n FROM q GROUP BY word),
+l AS (SELECT s, any_value(n) AS n, arg_min(word, freq) AS word, list_distinct(string_split(s, ' ')) AS words FROM (SELECT v.s, v.n, word, coalesce(f.n, 0) AS freq FROM (SELECT DISTINCT s, n, unnest(string_split(s, ' ')) AS word FROM v) v LEFT JOIN f USING (word)) GROUP BY s),
+e AS (SELECT DISTINCT rid, l.s FROM q JOIN l USING (word) JOIN d USING (rid) WHERE len(list_filter(range(greatest(p - l.n - {SLOP - 1}, 0), p + 1), lambda i: list_has_all(d.w[i + 1:i + l.n + {SLOP}], l.words))) > 0),
+k AS (SELECT rid, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM e JOIN v USING (s)) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near, '')) AS near_items_sha256 FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid) LEFT JOIN k USING (rid)"""
 
 VECTORS = """{name} AS (SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""

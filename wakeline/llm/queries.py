@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.centroids import cluster
 from wakeline.llm.common import documents, held_out
-from wakeline.llm.decontaminate import contamination
+from wakeline.llm.decontaminate import SLOP, contamination
 from wakeline.llm.fingerprints import fingerprints
 from wakeline.llm.html_text import extract
 from wakeline.llm.jaccard_join import jaccard_components
@@ -66,7 +66,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), SLOP).drop("text_hash")
 
 
 def op11_uniform_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
