@@ -2,9 +2,10 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
-from wakeline.llm.fingerprints import features, fingerprints
+from wakeline.llm.fingerprints import BIN, bin_of, features, fingerprints, rarity
 from wakeline.llm.html_text import extract, main_text
 from wakeline.llm.sharding import feistel_shards
 from wakeline.llm.url_graph import judge
@@ -119,7 +120,9 @@ def test_features_do_not_depend_on_the_place_in_a_step():
 
     draw = random.Random(6)
     texts = ["".join(draw.choice("aaabcdeefghiijklmnoopqrsttuvwxyz     .,") for _ in range(n)).encode() for n in (100, 250, 700, 2000, 64, 63)]
-    alone = [features([t])[0].tolist() for t in texts]
+    tables = [rarity(span, np.exp(-((np.arange(int(bin_of(span).max()) + 1) * BIN - usual) ** 2) * 8) * 1e6 // 1) for span, usual in ((64, 4.0), (16, 3.2), (8, 2.7))]
+    alone = [features([t], tables)[0].tolist() for t in texts]
+    assert all(map(len, alone))
     for k in range(len(texts)):
-        turned = features(texts[k:] + texts[:k])
+        turned = features(texts[k:] + texts[:k], tables)
         assert [x.tolist() for x in turned[len(texts) - k :] + turned[: len(texts) - k]] == alone
