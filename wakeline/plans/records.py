@@ -9,6 +9,7 @@ from wakeline.plans.registry import query
 from wakeline.sources.envelopes import from_envelopes
 from wakeline.sources.zones import parse_zones, sound_zones
 
+# Fixed values of the feed: types of messages, for the events that stand for them.
 KINDS = {"click": "PositionReport", "view": "StandardClassBPositionReport", "purchase": "ExtendedClassBPositionReport", "error": "ShipStaticData", "signup": "SubscriptionConfirmation"}
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values of the file format.
 PROPERTIES = "name string, source_name string, source_url string, source_date string, confidence double, first_seen string, last_seen string, notes string"
 RINGS = "array<array<array<double>>>"
 
