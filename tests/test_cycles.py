@@ -10,6 +10,7 @@ from wakeline.operators.reports import BINS, EDGES
 from wakeline.streaming.cycles import Cycles, Thresholds, report_flags
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+SF = "/root/testdata/sf0.01"
 SCORED = "mmsi long, received_at timestamp, error double, freeze double, reason string"
 
 
@@ -200,3 +201,27 @@ def test_empty_batches(spark, tmp_path, shape):
     cycles(tmp_path, Clock(), thresholds=lambda: Thresholds(0.5) if shape else None)(scored(spark), 0)
     assert outcomes(spark, tmp_path, 0) == {}
     assert sum(stats(spark, tmp_path, 0).histogram) == 0
+
+
+def test_the_replayed_query_equals_a_plain_version(spark):
+    from wakeline.operators.detectors import votes
+    from wakeline.operators.windows import scoreable, with_error
+    from wakeline.plans.queries import MAX_GAP, A, B, _steps
+
+    voted = votes(with_error(_steps(spark, SF)), A).where(scoreable(MAX_GAP) & (F.col("n_votes") > 0)).select("mmsi", "received_at", "error", "n_votes").collect()
+    carried, chosen_at, want = {}, {}, {}
+    for n, day in enumerate(range(6, 11)):
+        now, flags = dt.datetime(2024, 1, day + 1), dict(carried)
+        for r in voted:
+            if r.received_at.date() == dt.date(2024, 1, day) and (r.mmsi not in flags or (r.n_votes, r.error, r.received_at) > flags[r.mmsi]):
+                flags[r.mmsi] = (r.n_votes, r.error, r.received_at)
+        free = sorted((m for m in flags if m not in chosen_at or now - chosen_at[m] >= dt.timedelta(hours=6)), key=lambda m: (-flags[m][0], -flags[m][1], -flags[m][2].timestamp(), m))
+        for m, (v, e, at) in flags.items():
+            want[n, m] = (at, round(e, 6), v, "B" if e >= B and e > A else "A", "debounced" if m not in free else "chosen" if m in free[:3] else "deferred")
+        chosen_at |= {m: now for m in free[:3]}
+        carried = {m: flags[m] for m in free[3:]}
+    from wakeline.plans import QUERIES
+
+    rows = QUERIES["cycles_replayed"](spark, SF).collect()
+    got = {(r.cycle, r.mmsi): (r.flagged_at, r.error, r.n_votes, r.tier, r.outcome) for r in rows}
+    assert got == want and {o[-1] for o in got.values()} >= {"chosen", "deferred"}

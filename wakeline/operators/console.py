@@ -40,6 +40,17 @@ def health(positions: DataFrame, incidents: DataFrame, as_of: Column) -> DataFra
     return age(positions, "received_at", "report_age_s").join(age(incidents, "flagged_at", "incident_age_s"))
 
 
+def active_vessels(positions: DataFrame, since: Column) -> DataFrame:
+    """Vessels with a report after a time."""
+    return positions.where(F.col("received_at") > since).select("mmsi").distinct()
+
+
+def incident_volume(incidents: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """tier, n of the incidents in the hours up to ``as_of``."""
+    recent = incidents.where((F.col("flagged_at") > as_of - F.make_interval(hours=F.lit(hours))) & (F.col("flagged_at") <= as_of))
+    return recent.groupBy("tier").agg(F.count("*").alias("n"))
+
+
 #: Reviews below which their shares are not gone by.
 FEW_REVIEWS = 30
 
