@@ -76,6 +76,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect garbage, upon which Spark deletes the shuffle files of tables that nothing refers to any more, on all executors."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id (a whole number), text_hash and text (null: empty), and what more is asked for; the first two are the document, also where a doc_id repeats."""
     text = F.coalesce("text", F.lit(""))

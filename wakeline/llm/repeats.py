@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import KEYS, as_bytes, bounded_join, checkpoint, chunks, keyed, mix, n_buckets, prefix_hash, span_hash, tidy
+from wakeline.llm.common import KEYS, as_bytes, bounded_join, checkpoint, chunks, keyed, let_go, mix, n_buckets, prefix_hash, span_hash, tidy
 
 GRAM = 16
 #: New spans that a task holds before it makes those that overlap one.
@@ -311,8 +311,10 @@ def _groups(length: int):
 def _held(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """The documents (doc_id, text_hash, text) that have anchors that occur more than once, and the places of these."""
     packed = _deal_anchors(docs, length, buckets).groupBy("bucket").applyInArrow(tidy(_repeated(buckets)), "part int, ids binary, keys binary, counts binary, places binary")
-    places = packed.groupBy("part").applyInArrow(tidy(_gathered), "doc_id long, text_hash long, places binary")
-    return bounded_join(docs, checkpoint(places), KEYS, size=F.octet_length("places"))
+    places = checkpoint(packed.groupBy("part").applyInArrow(tidy(_gathered), "doc_id long, text_hash long, places binary"))
+    del packed
+    let_go(docs.sparkSession)  # the anchors' exchange is over before the contexts' begins
+    return bounded_join(docs, places, KEYS, size=F.octet_length("places"))
 
 
 def repeat_groups_of(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -338,7 +340,10 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFra
     firsts, twins = without_twins(docs)
     buckets = n_buckets(docs)
     contexts = _deal_contexts(_held(firsts, length, buckets), length, 8 * buckets, True)
-    return checkpoint(contexts.groupBy("bucket").applyInArrow(tidy(_scan(length)), "doc_id long, text_hash long, start long, stop long")), twins
+    spans = checkpoint(contexts.groupBy("bucket").applyInArrow(tidy(_scan(length)), "doc_id long, text_hash long, start long, stop long"))
+    del contexts
+    let_go(docs.sparkSession)
+    return spans, twins
 
 
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
