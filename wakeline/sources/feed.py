@@ -68,7 +68,7 @@ class FeedOptions:
         return cls.of({f.name: held.get(prefix + f.name.upper(), "") for f in fields(cls)})
 
     def subscription(self) -> str:
-        """The line that is sent at the start of a connection: what the feed is to send."""
+        """The line that is sent at the start of a connection: what the feed is to send (its names are fixed values of the feed)."""
         said: dict = {"APIKey": self.key, "BoundingBoxes": self.boxes}
         if self.vessels:
             said["FiltersShipMMSI"] = [str(v) for v in self.vessels]
