@@ -135,6 +135,13 @@ class Cycles:
         return dt.datetime.fromtimestamp(r.t / 1e6, dt.UTC), None if r.observing else Thresholds(r.a, r.b)
 
     def __call__(self, scored: DataFrame, number: int) -> None:
+        scored = scored.select("mmsi", "received_at", "error", "freeze", "reason").persist()  # flags, counts and the histogram read it
+        try:
+            self._run(scored, number)
+        finally:
+            scored.unpersist()
+
+    def _run(self, scored: DataFrame, number: int) -> None:
         spark = scored.sparkSession
         now, active = self._clock(spark, number)
         at = F.timestamp_micros(F.lit(int(now.timestamp() * 1e6)))
