@@ -21,6 +21,15 @@ def test_track_summary_of_a_frozen_and_a_short_track(spark):
     assert got[1][9].endswith(("-4.0", "+0.0", "-0.0")) or got[1][9].split()[-1][0] in "+-"
 
 
+def test_a_mean_does_not_depend_on_the_order(spark):
+    # Added up in double from left to right these give 4.4 (or 4.5 from the right); their exact sum is 44.5.
+    speeds = [7.73, 5.12, 3.89, 1.15, 2.54, 2.01, 1.4, 8.25, 7.01, 5.4]
+    for order in (speeds, sorted(speeds), speeds[::-1]):
+        rows = [(1, 0, i, i, T0 + dt.timedelta(minutes=i), 50.0, 5.0, v, 0.0) for i, v in enumerate(order)]
+        df = steps(spark.createDataFrame(rows, "mmsi long, window_index long, place long, event_id long, received_at timestamp_ntz, lat double, lon double, sog double, cog double"))
+        assert texts.track_summaries(df).head().summary.split("\n")[1] == "reported_speed_knots: mean 4.5, max 8.2"
+
+
 def test_evidence_and_votes(spark):
     rows = [(1, "freeze_replay+prediction_error", 2.5, 4, 12, None, 0, 1, "gradual_drift", 0.83, "near others"), (2, "", 0.1, 0, 0, 7, 1, 0, None, None, " "), (3, "speed_jump", 0.1, 2, 3, None, 2, 5, "freeze_replay", None, None)]
     df = spark.createDataFrame(rows, "incident_id long, votes string, score double, n_freeze long, n_track long, zone_id long, n_prior long, elsewhere long, label string, sure double, note string")

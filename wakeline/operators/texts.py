@@ -1,10 +1,13 @@
 """Texts for readers: a track's summary, an incident's evidence, votes, lists. Numbers come from columns; text is the last step."""
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from wakeline.functions.geo import angle_between
 from wakeline.operators.windows import chunk, course_off, revisited, seconds, valid_step
@@ -41,6 +44,12 @@ QUESTION = {
 }
 
 
+@F.pandas_udf(DoubleType())
+def exact_mean(values: pd.Series) -> pd.Series:
+    """Mean of an array without nulls, from the exact sum: it does not depend on the order, so that no digit of a text does. Null for an empty array."""
+    return pd.Series([None if not len(v) else math.fsum(v) / len(v) if np.isfinite(v).all() else np.mean(v) for v in values], dtype=float)
+
+
 def track_numbers(windows: DataFrame) -> DataFrame:
     """mmsi, window_index and the numbers of a summary, of windows with their steps."""
     keys = ["mmsi", "window_index"]
@@ -56,9 +65,10 @@ def track_numbers(windows: DataFrame) -> DataFrame:
     most = lambda test, c: zero(F.max(F.when(test, c)))
     valid = valid_step()
     n = d.groupBy(*keys).agg(
-        F.count("*").alias("n"), ((F.max(seconds("received_at")) - F.min(seconds("received_at"))) / 60).alias("span"), zero(F.avg("sog")).alias("mean_sog"), zero(F.max("sog")).alias("max_sog"), zero(F.avg(F.when(valid, F.col("implied")))).alias("mean_implied"), most(valid, F.col("implied")).alias("max_implied"),
+        F.count("*").alias("n"), ((F.max(seconds("received_at")) - F.min(seconds("received_at"))) / 60).alias("span"), F.collect_list("sog").alias("_sogs"), zero(F.max("sog")).alias("max_sog"), zero(F.avg(F.when(valid, F.col("implied")))).alias("mean_implied"), most(valid, F.col("implied")).alias("max_implied"),
         most(valid, F.col("step_km")).alias("max_step"), F.count_if("_claim").alias("claims"), F.max("_run").alias("longest"), F.count_if("revisited").alias("again"), most(valid, F.col("_turn")).alias("turn"), most(F.col("implied") > UNDERWAY_KNOTS, course_off()).alias("off"), zero(mean(F.col("_i") >= F.col("_m") - third) - mean(F.col("_i") < third)).alias("trend"),
     )
+    n = n.withColumn("mean_sog", F.when(F.exists("_sogs", F.isnan), float("nan")).otherwise(zero(exact_mean("_sogs")))).drop("_sogs")
     return n.withColumn("ratio", F.col("max_implied") / F.greatest("max_sog", F.lit(1.0)))
 
 
