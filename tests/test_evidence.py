@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from wakeline.operators import cover, evidence, investigate
 from wakeline.operators.asof import as_of
-from wakeline.operators.console import scopes
+from wakeline.operators.clusters import members_of
+from wakeline.operators.console import nearby_incidents, scopes
 from wakeline.operators.predictors import FEATURES, PREDICTORS, step_errors
 from wakeline.operators.windows import fixed_windows, numbered, steps, with_error
 
@@ -191,3 +192,72 @@ def test_investigations_see_the_track(spark):
     after = {r.incident_id: (r.strength, r.scope, r.benign, r.priority) for r in investigate.follow_up(found, near, priors, 1.0, 2.0).collect()}
     assert after[2][:3] == (0.5, "isolated", 0.9)
     assert after[1][:3] == (1.0, "area", 0.0) and after[1][3] == pytest.approx(0.35 * 0.8 + 0.25 + 0.15 + 0.25)
+
+
+def _crowd(spark, n=4000):
+    """Vessels in one place that all report in one hour, and as many incidents."""
+    rng = random.Random(11)
+    held = [(i, i, T0 + dt.timedelta(seconds=rng.randrange(3600)), 51 + rng.uniform(0, 0.02), 4 + rng.uniform(0, 0.02), 1.0) for i in range(n)]
+    return spark.createDataFrame([(i, *r[:1], *r[2:5]) for i, r in enumerate(held)], INC), spark.createDataFrame(held, POS)
+
+
+def _rows_shuffled(df):
+    """Rows that all exchanges of a query's last plan wrote."""
+    df.collect()
+    n, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(p.plan())
+            continue
+        if name == "Exchange":
+            n += p.metrics().apply("shuffleRecordsWritten").value()
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return n
+
+
+def test_a_crowd_is_not_paired_before_the_first_are_taken(spark):
+    inc, pos = _crowd(spark)
+    near = evidence.neighbours(inc, pos, 5)
+    assert _rows_shuffled(near) < 12 * 4000 and near.count() == 4000 * 60
+    around = nearby_incidents(inc, 5)
+    assert _rows_shuffled(around) < 12 * 4000 and around.count() == 4000 * 20
+    told = scopes(inc, pos, 5, 2)
+    assert _rows_shuffled(told) < 40 * 4000
+    assert {(r.neighbours, r.incidents) for r in told.collect()} == {(60, 20)}
+
+
+def test_nearby_incidents_equal_plain_at_the_antimeridian_and_in_divided_tiles(spark, monkeypatch):
+    rng = random.Random(8)
+    wrap = lambda x: (x + 180) % 360 - 180
+    inc = [(i, rng.randrange(9), T0 + dt.timedelta(minutes=rng.randrange(0, 900, 5)), y + rng.gauss(0, 0.05), wrap(x + rng.gauss(0, 0.1))) for i, (y, x) in enumerate([(10, 180), (89.95, 0), (0, 0)] * 60)]
+    inc.append((999, 1, T0, None, 3.0))
+    want = set()
+    for i, m, t, *p in inc[:-1]:
+        near = sorted(((u, j) for j, o, u, *q in inc[:-1] if o != m and abs((u - t).total_seconds()) <= 21600 and km(p, q) <= 9), reverse=True)
+        want |= {(i, j, n + 1) for n, (_, j) in enumerate(near[:7])}
+    for load in (3, 100_000):
+        monkeypatch.setattr(evidence.near_in_time, "__defaults__", (load,))
+        assert {(r.incident_id, r.other_id, r.place) for r in nearby_incidents(spark.createDataFrame(inc, INC), 9, 360, 7).collect()} == want
+
+
+def test_own_clusters_equal_the_general_ones(spark):
+    rng = random.Random(4)
+    row = lambda i: (i, rng.randrange(8), T0 + dt.timedelta(minutes=rng.randrange(0, 200, 10)), 10 + rng.gauss(0, 0.03), 20 + rng.gauss(0, 0.03))
+    inc = [row(i) for i in range(150)]
+    got = {r.incident_id: r.cluster_vessels for r in scopes(spark.createDataFrame(inc, INC), spark.createDataFrame([], POS), 9, 2).collect()}
+    reports = []
+    for i, m, t, *p in inc:
+        near = sorted(((u, j, o, q) for j, o, u, *q in inc if o != m and abs((u - t).total_seconds()) <= 21600 and km(p, q) <= 9), reverse=True)[:20]
+        reports += [(i, m, t, i, *p)] + [(i, o, u, j, *q) for u, j, o, q in near if abs((u - t).total_seconds()) <= 3600]
+    found = members_of(spark.createDataFrame(reports, "bucket long, mmsi long, received_at timestamp_ntz, event_id long, lat double, lon double"), 2, 3).collect()
+    size, held = {}, {}
+    for r in found:
+        size[r.bucket, r.cluster] = size.get((r.bucket, r.cluster), 0) + 1
+        held[r.bucket, r.mmsi] = r.cluster
+    assert got == {i: size.get((i, held.get((i, m))), 1) for i, m, *_ in inc} and len(set(got.values())) > 2
