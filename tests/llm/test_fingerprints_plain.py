@@ -11,7 +11,7 @@ import pytest
 
 from wakeline.llm import queries
 from wakeline.llm.common import prefix_hash, span_hash
-from wakeline.llm.fingerprints import BIN, BITS, LONGEST, MOST, SHAPES, SUBS, TRIVIAL, fingerprints
+from wakeline.llm.fingerprints import BIN, BITS, LONGEST, MOST, SHAPES, SUBS, TRIVIAL, fingerprints, rarity, rarity_tables
 
 SF_DIR = "/root/testdata/sf0.001"
 PART = [round(c * math.log2(c) * 128) if c else 0 for c in range(LONGEST + 1)]
@@ -116,3 +116,15 @@ def test_half_edited_texts_are_nearer_than_the_next_at_every_size(spark, size):
     rows = fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     edited, following = (sorted(getattr(r, c) for r in rows) for c in ("near_edited", "near_next"))
     assert edited[30] > following[57] and sum(r.near_edited > r.near_next for r in rows) >= 54
+
+
+def test_what_is_rare_follows_from_all_documents(spark):
+    few = ["".join(random.Random(i).choices("abcdefghij ", k=70)) for i in range(8)]
+    df = spark.range(8000).selectExpr("id AS doc_id", f"element_at(array({', '.join(map(repr, few))}), CAST(id % 8 AS int) + 1) AS text")
+    got = rarity_tables(df)
+    for ((span, _, _), _), table in zip(SHAPES, got, strict=True):
+        bins = np.zeros(int(math.log2(span) / BIN) + 1, np.int64)
+        for t in few:
+            for e in _entropies(t.encode(), span):
+                bins[math.floor(max(e, 0) / BIN)] += 1000
+        assert (table == rarity(span, bins)).all()

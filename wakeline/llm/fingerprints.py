@@ -1,8 +1,8 @@
 """Improbable-feature document fingerprints.
 
 Every 64-byte window has an entropy; the fewer windows of a sample have one like it, the rarer the window.
-The histograms of entropies are counted over whole texts of about SAMPLE_ROWS documents, drawn by a hash; they
-decide which windows are preferred, and every document is read whole. In each run of 64 windows the rarest
+The histograms of entropies are counted over the whole texts of all documents; they decide which windows are
+preferred. In each run of 64 windows the rarest
 (the first of equals) gets a point, and windows with enough points become features. A text of less than 600
 bytes also gives windows of 16 bytes in the same way, since it has few of the long ones, and one of less than
 128 bytes those of 8. Features go, by hash, into Bloom filters of 2048 bits, a new filter after every 160. Two digests compare by the overlap of
@@ -31,8 +31,8 @@ BITS, MOST, SUBS = 2048, 160, 5
 #: Bytes of a window, windows of a run, points that make a feature; and the bytes of a text below which it gives such ones.
 SHAPES = (((64, 64, 16), None), ((16, 16, 4), 600), ((8, 8, 2), 128))
 LONGEST = 64
-#: Rows of the sample of entropies, the width of a histogram's bins in bits, and the share of the highest entropy below which a window is trivial.
-SAMPLE_ROWS, BIN, TRIVIAL = 5000, 0.02, 0.25
+#: The width of a histogram's bins in bits, and the share of the highest entropy below which a window is trivial.
+BIN, TRIVIAL = 0.02, 0.25
 #: Bytes that one vectorised step takes, few enough for the caches.
 STEP_BYTES = 1 << 17
 BLOCK_ROWS = 1500
@@ -145,11 +145,8 @@ def features(texts: list[bytes], tables: Tables) -> list[np.ndarray]:
     return out
 
 
-def rarity_tables(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Tables:
-    """The tables by the entropies of about ``rows`` documents; a histogram of some hundred bins for each shape comes to the driver."""
-    total = docs.count()
-    share = min(1.0, rows / max(1, total))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000).select("text")
+def rarity_tables(docs: DataFrame) -> Tables:
+    """The tables by the entropies of all documents; a histogram of some hundred bins for each shape comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(int(bin_of(shape[0]).max()) + 1, np.int64) for shape, _ in SHAPES]
@@ -164,7 +161,7 @@ def rarity_tables(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Tables:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k), pa.int32()), pa.array(np.arange(len(h)), pa.int32()), pa.array(h)], ["kind", "bin", "n"])
 
     out = [np.zeros(int(bin_of(shape[0]).max()) + 1, np.int64) for shape, _ in SHAPES]
-    for r in drawn.mapInArrow(tidy(count), "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(tidy(count), "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():
         out[r.kind][r.bin] = r.n
     return [rarity(shape[0], n) for (shape, _), n in zip(SHAPES, out, strict=True)]
 
@@ -224,10 +221,10 @@ def _block(tables: Tables):
     return block
 
 
-def fingerprints(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
-    tables = rarity_tables(own, sample_rows)
+    tables = rarity_tables(own)
     numbered, total = number_rows(own.select("doc_id", "_hash").distinct(), ["doc_id", "_hash"])
     last = total - 1
     block = F.floor(F.col("row_no") / BLOCK_ROWS).cast("long")
