@@ -36,12 +36,12 @@ BIN, TRIVIAL = 0.02, 0.25
 #: Bytes that one vectorised step takes, few enough for the caches.
 STEP_BYTES = 1 << 17
 BLOCK_ROWS = 1500
-#: Byte values seen less than once in so many bytes are counted by their places.
-SPARSE = 500
 
 _COUNTS = np.arange(LONGEST + 1)
 #: n * log2(n) in whole steps, small enough that 64 of them fit 16 bits.
 _PARTS = np.round(np.where(_COUNTS > 0, _COUNTS * np.log2(np.maximum(_COUNTS, 1)), 0) * 128).astype(np.uint16)
+#: What one more of a byte value adds to a sum of parts, by how many there are.
+_STEPS = np.diff(_PARTS)
 
 
 def entropies(span: int) -> np.ndarray:
@@ -61,19 +61,6 @@ def rarity(span: int, counts: np.ndarray) -> np.ndarray:
     return np.where(entropies(span) < TRIVIAL * np.log2(span), 0, 1 + np.round(at * 1000)).astype(np.int64)
 
 
-def _add_sparse(sums: np.ndarray, at: np.ndarray, span: int) -> None:
-    """Adds the part of a byte value at few places: only windows with two or more of it have any."""
-    near = np.flatnonzero(np.diff(at) < span)
-    if not len(near):
-        return
-    at = at[np.unique(np.concatenate((near, near + 1)))]
-    times = np.concatenate((np.maximum(at - span + 1, 0), at + 1))
-    order = np.argsort(times, kind="stable")
-    times, held = times[order], np.cumsum(np.where(order < len(at), 1, -1))
-    for i in np.flatnonzero((held[:-1] > 1) & (times[1:] > times[:-1])):
-        sums[times[i] : times[i + 1]] += _PARTS[held[i]]
-
-
 def _windows(texts: list[bytes], span: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts' bytes with gaps between them, each text's start, and of the window from each byte on its sum and whether it lies in a text."""
     pad = b"\0" * (span + run)
@@ -81,14 +68,17 @@ def _windows(texts: list[bytes], span: int, run: int) -> tuple[np.ndarray, np.nd
     n = len(a) - span + 1
     lengths = np.array([len(t) for t in texts])
     starts = len(pad) + np.concatenate(([0], np.cumsum(lengths + len(pad))[:-1]))
-    sums = np.zeros(n, np.uint16)
-    for c, many in enumerate(np.bincount(a, minlength=256)):
-        if many * SPARSE > len(a):
-            seen = np.zeros(len(a) + 1, np.uint8)
-            np.cumsum(a == c, dtype=np.uint8, out=seen[1:])
-            sums += _PARTS[seen[span:] - seen[:-span]]
-        elif many > 1:
-            _add_sparse(sums, np.flatnonzero(a == c), span)
+    # How many of the span - 1 bytes after, and before, each byte are equal to it.
+    after, before = np.zeros(len(a), np.uint8), np.zeros(len(a), np.uint8)
+    for d in range(1, span):
+        same = (a[:-d] == a[d:]).view(np.uint8)
+        after[:-d] += same
+        before[d:] += same
+    # From one window to the next a byte goes and a byte comes; the sums of parts follow modulo 2**16, below which they are.
+    sums = np.empty(n, np.uint16)
+    sums[0] = _PARTS[np.bincount(a[:span])].sum()
+    sums[1:] = _STEPS[before[span:]] - _STEPS[after[: n - 1]]
+    np.cumsum(sums, dtype=np.uint16, out=sums)
     inside = np.zeros(n + 1, np.int8)
     whole = lengths >= span
     np.add.at(inside, starts[whole], 1)
