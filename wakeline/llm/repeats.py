@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import KEYS, as_bytes, bounded_join, checkpoint, chunks, keyed, let_go, mix, n_buckets, prefix_hash, span_hash, tidy
+from wakeline.llm.common import KEYS, arrays, as_bytes, bounded_join, checkpoint, chunks, keyed, let_go, mix, n_buckets, prefix_hash, span_hash, tidy
 
 GRAM = 16
 #: New spans that a task holds before it makes those that overlap one.
@@ -88,7 +88,7 @@ def _repeated(parts: int):
     """The places of each document whose grams occur more than once in the bucket, packed by a hash of the document."""
 
     def repeated(table: pa.Table) -> pa.Table:
-        ids, keys, counts, places, grams = (np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist()]) for k, kind in (("ids", np.int64), ("keys", np.int64), ("counts", np.uint32), ("places", np.uint32), ("grams", np.uint32)))
+        ids, keys, counts, places, grams = (np.concatenate(arrays(table[k], kind)) for k, kind in (("ids", np.int64), ("keys", np.int64), ("counts", np.uint32), ("places", np.uint32), ("grams", np.uint32)))
         order = np.argsort(grams, kind="stable")
         g = grams[order]
         same = np.concatenate(([False], g[1:] == g[:-1], [False]))
@@ -112,7 +112,7 @@ def _repeated(parts: int):
 
 def _gathered(table: pa.Table) -> pa.Table:
     """One row for each document of a part, with all its places."""
-    ids, keys, counts, places = (np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist()]) for k, kind in (("ids", np.int64), ("keys", np.int64), ("counts", np.uint32), ("places", np.uint32)))
+    ids, keys, counts, places = (np.concatenate(arrays(table[k], kind)) for k, kind in (("ids", np.int64), ("keys", np.int64), ("counts", np.uint32), ("places", np.uint32)))
     owner = np.repeat(np.arange(len(ids)), counts)
     order = np.lexsort((places, keys[owner], ids[owner]))
     owner, places = owner[order], places[order]
